@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom import catalog
 from codeloom.functions.text import collapse_spaces
 
-NUL = "\u0000"
+NUL = chr(0)
 
 
 def lookup(table: dict, key: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from codeloom import catalog
 
 # The white space that JavaScript's `\s` and `trim()` know.
-SPACES = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+_WIDE = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+SPACES = "\t\n\x0b\x0c\r " + "".join(map(chr, _WIDE))
+_NOT_LINE_END = "[^\n\r" + chr(0x2028) + chr(0x2029) + "]"
 _WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
@@ -31,7 +33,7 @@ def regex(pattern: str, ignore_case: bool = False, java: bool = True) -> str:
             out.append(r"\z")
             i -= 1
         elif two[0] == "." and not in_class:
-            out.append("[^\n\r  ]")
+            out.append(_NOT_LINE_END)
             i -= 1
         else:
             in_class = two[0] == "[" or (in_class and two[0] != "]")

@@ -1,0 +1,200 @@
+"""The findings algebra: merge, de-duplicate, suppress, compare."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from codeloom import catalog
+from codeloom.functions import identity, paths, text
+from codeloom.functions.text import regex
+from codeloom.schema import FINDING_COLUMNS
+from codeloom.session import BROADCAST_ROWS, has_at_most, small_side
+
+
+def merge_findings(parts: list[DataFrame], run_id: Column) -> DataFrame:
+    """Union of the families' findings in merge order, one run."""
+    ranked = [part.select(*FINDING_COLUMNS).withColumn("family_order", F.lit(i)) for i, part in enumerate(parts)]
+    return reduce(DataFrame.unionByName, ranked).withColumn("run_id", run_id)
+
+
+def dedupe_findings(findings: DataFrame, order: list[str]) -> DataFrame:
+    """The first finding per run, rule, file and line. `row_number() = 1` lets Spark drop
+    the others before the shuffle, so one hot location costs one row per task."""
+    first = Window.partitionBy("run_id", "rule_id", "file", "line").orderBy(*order)
+    return findings.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+
+
+def severity_at_least(findings: DataFrame, level: str) -> DataFrame:
+    return findings.filter(identity.severity_rank(F.col("severity")) >= catalog.SEVERITY_RANK[level])
+
+
+def enabled_filter(findings: DataFrame, enabled: dict[str, bool]) -> DataFrame:
+    """Drop the findings of switched-off families; unknown families pass."""
+    off = [family for family, on in enabled.items() if not on]
+    return findings.filter(~F.col("analyzer").isin(*off)) if off else findings
+
+
+def rule_catalog(settings: DataFrame) -> DataFrame:
+    """Built-in rules of every repository with severity and switch from its settings
+    (repo, family, severity, enabled); at most one settings row per repo and family."""
+    rules = F.array(
+        *[
+            F.struct(F.lit(r).alias("rule_id"), F.lit(f).alias("analyzer"), F.lit(s).alias("default_severity"))
+            for r, f, s, _ in catalog.RULES
+        ]
+    )
+    per_repo = settings.groupBy("repo").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("family", F.struct("severity", "enabled")))
+        ).alias("chosen")
+    )
+    chosen = F.try_element_at("chosen", F.col("r.analyzer"))
+    return per_repo.select("repo", "chosen", F.explode(rules).alias("r")).select(
+        "repo",
+        "r.rule_id",
+        "r.analyzer",
+        F.coalesce(chosen["severity"], F.col("r.default_severity")).alias("severity"),
+        F.coalesce(chosen["enabled"], F.lit(False)).alias("enabled"),
+    )
+
+
+def enabled_counts(rules: DataFrame) -> DataFrame:
+    return rules.groupBy("repo").agg(F.count_if("enabled").alias("enabled"), F.count("*").alias("total"))
+
+
+def suppression_directives(lines: DataFrame, keyword: str = "scan-ignore") -> DataFrame:
+    """Ignore comments in (path, language, line, content) as (path, line, rule_id) of the
+    line they act on; a NULL rule acts on every rule."""
+    content = F.col("content")
+    python = F.col("language") == "python"
+    comment = lambda pattern: F.when(
+        content.rlike(regex(pattern)), text.trim(F.regexp_extract(content, regex(pattern), 1))
+    )
+    styles = [
+        F.when(~python, comment(r"//\s*(.*)")),
+        F.when(python, comment(r"#\s*(.*)")),
+        F.when(~python, comment(r"/\*\s*(.*?)\s*\*/")),
+    ]
+    same_line = f"{keyword}-line"
+
+    def directive(key: str, offset: int, unless: str | None) -> Column:
+        found = []
+        for body in styles:
+            cond = body.startswith(key)
+            if unless:
+                cond = cond & ~body.startswith(unless)
+            rest = text.trim(F.substring(body, len(key) + 1, 2147483647))
+            rule = F.when(rest != "", rest)
+            found.append(
+                F.when(cond, F.struct((F.col("line") + offset).alias("line"), rule.alias("rule_id")))
+            )
+        return F.coalesce(*found)
+
+    both = F.array(directive(same_line, 0, None), directive(keyword, 1, same_line))
+    return (
+        lines.filter(content.contains(keyword))
+        .select("path", F.explode(F.array_compact(both)).alias("d"))
+        .select("path", "d.line", "d.rule_id")
+    )
+
+
+def suppress(findings: DataFrame, directives: DataFrame) -> DataFrame:
+    """Findings without a directive on their line for their rule or for all rules."""
+    d = directives.distinct().select(
+        F.col("path").alias("d_file"), F.col("line").alias("d_line"), F.col("rule_id").alias("d_rule")
+    )
+    hit = (
+        (F.col("file") == F.col("d_file"))
+        & (F.col("line") == F.col("d_line"))
+        & (F.col("d_rule").isNull() | (F.col("d_rule") == F.col("rule_id")))
+    )
+    return findings.join(d, hit, "left_anti")
+
+
+def baseline_filter(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Findings that the baseline knows neither by snippet hash nor by message; the line
+    number does not matter."""
+    digest = F.when(
+        F.col("code_snippet").isNotNull(),
+        identity.content_fingerprint(F.col("rule_id"), F.col("file"), F.col("code_snippet")),
+    )
+    hashes = baseline.filter("content_hash IS NOT NULL").select("content_hash").distinct()
+    messages = baseline.select("rule_id", "file", "message").distinct()
+    return (
+        findings.withColumn("content_hash", digest)
+        .join(hashes, "content_hash", "left_anti")
+        .drop("content_hash")
+        .join(messages, ["rule_id", "file", "message"], "left_anti")
+    )
+
+
+def dismissed_by(entries: list[tuple[str, str, str]]) -> Column:
+    """Condition of (rule or '*', pattern, 'message' | 'file') entries on a finding."""
+    result = F.lit(False)
+    for rule, pattern, kind in entries:
+        match = (
+            F.col("message").contains(pattern)
+            if kind == "message"
+            else paths.glob_match(F.col("file"), pattern) if kind == "file" else F.lit(False)
+        )
+        result = result | (match if rule == "*" else (F.col("rule_id") == rule) & match)
+    return result
+
+
+def dismissal_filter(findings: DataFrame, dismissals: DataFrame, chunk: int = 500) -> DataFrame:
+    """Findings that no stored dismissal matches.
+
+    Dismissals are typed in by people, so they fit a filter condition: the entries are
+    read in chunks of at most `chunk` rows and each chunk becomes one predicate, without
+    a theta join however many there are.
+    """
+    entries = dismissals.select("rule_id", "pattern", "pattern_type").distinct()
+    kept, batch = findings, []
+    for row in entries.toLocalIterator():
+        batch.append(tuple(row))
+        if len(batch) == chunk:
+            kept, batch = kept.filter(~dismissed_by(batch)), []
+    return kept.filter(~dismissed_by(batch)) if batch else kept
+
+
+def first_setting(files: DataFrame, overrides: list[tuple[str, dict]], base: dict) -> DataFrame:
+    """Settings per file: the first glob that matches overrides single keys of `base`."""
+    path = F.col("path")
+    columns = {}
+    for key, default in base.items():
+        value = F.lit(default)
+        for pattern, values in reversed(overrides):
+            value = F.when(paths.glob_match(path, pattern), F.lit(values.get(key, default))).otherwise(value)
+        columns[key] = value
+    return files.withColumns(columns)
+
+
+def fix_lookup(findings: DataFrame, fixers: dict[str, str]) -> DataFrame:
+    """Fixer by exact rule id, else the naming fixer for every convention naming rule."""
+    exact = identity.lookup(fixers, F.col("rule_id"))
+    naming = next((f for r, f in fixers.items() if r.startswith("convention/") and r.endswith("-naming")), None)
+    any_naming = F.when(F.col("rule_id").rlike(r"^convention/.*-naming\z"), F.lit(naming))
+    return findings.withColumn("fixer", F.coalesce(exact, any_naming))
+
+
+def suggestion_enrich(findings: DataFrame, cache: DataFrame) -> DataFrame:
+    """Fill missing suggestions from a store (key, value) with unique keys."""
+    key = identity.suggestion_key(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet"))
+    stored = cache.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
+    joined = findings.withColumn("__k", F.when(F.col("suggestion").isNull(), key))
+    joined = joined.join(small_side(stored), F.col("__k") == F.col("__key"), "left")
+    return joined.withColumn("suggestion", F.coalesce("suggestion", "__value")).drop("__k", "__key", "__value")
+
+
+def finding_lifecycle(before: DataFrame, after: DataFrame) -> DataFrame:
+    """resolved / persisting / new per (rule, file, line) between two runs."""
+    keys = ["rule_id", "file", "line"]
+    old = before.select(*keys).distinct().withColumn("old", F.lit(True))
+    new = after.select(*keys).distinct().withColumn("new", F.lit(True))
+    status = (
+        F.when(F.col("old") & F.col("new"), "persisting").when(F.col("old"), "resolved").otherwise("new")
+    )
+    return old.join(new, keys, "full_outer").select(*keys, status.alias("status"))

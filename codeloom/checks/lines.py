@@ -130,7 +130,7 @@ def _(v):
     return corpus.path_filter(typed_files(v), INCLUDE, EXCLUDE, KEPT_LANGUAGES).select("path", "language")
 
 
-def _secret_sql(source):
+def secret_sql(source):
     tests = ", ".join(
         f"CASE WHEN {hit('content', p, i)} THEN {{'n': {lit(n)}, 's': {lit(s)}}} END" for n, p, i, s in catalog.SECRETS
     )
@@ -148,7 +148,7 @@ def secret_input(v):
     return v("v_secret_lines").select("path", "line", "content").unionByName(v("v_lines").select("path", "line", "content"))
 
 
-@query("secret_scan", _secret_sql(SECRET_INPUT))
+@query("secret_scan", secret_sql(SECRET_INPUT))
 def _(v):
     return line_rules.secret_scan(secret_input(v)).select(*FINDING, "code_snippet")
 
@@ -444,7 +444,7 @@ def _(v):
 
 @query(
     "changed_line_semi",
-    f"""WITH s AS ({_secret_sql('v_lines')}), long AS (SELECT path AS file, line FROM v_lines WHERE length(content) > 60)
+    f"""WITH s AS ({secret_sql('v_lines')}), long AS (SELECT path AS file, line FROM v_lines WHERE length(content) > 60)
     SELECT file, line FROM long WHERE EXISTS (SELECT 1 FROM v_changes c WHERE c.change_type = 'added' AND c.path = long.file AND c.line = long.line)""",
 )
 def _(v):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.checks.views import duck_views, spark_view
 from codeloom.functions.text import SPACES, regex
+from codeloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,14 +16,27 @@ ORACLES: dict[str, str] = {}
 FINDING = ["rule_id", "severity", "message", "file", "line"]
 
 
+# Tables that stand for stored input (the syntax nodes) are written once per session.
+STORED = {"v_nodes"}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
-    """The check views of one data folder, as attributes-by-name."""
+    """The check views of one data folder, by name."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str) -> DataFrame:
-        return spark_view(self.spark, self.folder, name)
+        view = spark_view(self.spark, self.folder, name)
+        if name not in STORED:
+            return view
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = scratch_path(self.spark, name)
+            view.write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.schema(view.schema).parquet(_WRITTEN[key])
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -454,7 +454,6 @@ VIEWS["v_item_nodes"] = _node_view("v_item_base", _node_rows_of_lineitems())
 VIEWS["v_nodes"] = f"""
 SELECT {_PATH} AS path, {pick(div('k', 8) + ' % 8', LANGUAGES)} AS language, node_id, parent_id, field, kind, text, pre, post, named, start_line, end_line
 FROM (SELECT * FROM v_order_nodes UNION ALL SELECT * FROM v_item_nodes) n"""
-VIEWS["v_node_files"] = "SELECT DISTINCT path FROM v_nodes"
 
 # --- dialects -----------------------------------------------------------------------------
 

@@ -67,15 +67,3 @@ def package_url(name: Column, version: Column, ecosystem: Column) -> Column:
 def shape_key(shape: Column) -> Column:
     """Group key of a normalised block shape; wide enough to stand for the text itself."""
     return F.sha2(shape, 256)
-
-
-def multiset_jaccard(left: Column, right: Column) -> Column:
-    """Sum of minimum over sum of maximum counts of two token arrays; both empty 1, one empty 0."""
-    tokens = F.array_distinct(F.concat(left, right))
-    count = lambda bag, token: F.size(F.filter(bag, lambda t: t == token))
-    total = lambda pick: F.aggregate(tokens, F.lit(0), lambda s, t: s + pick(count(left, t), count(right, t)))
-    return (
-        F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(1.0))
-        .when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0))
-        .otherwise(total(F.least) / total(F.greatest))
-    )

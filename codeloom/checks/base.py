@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.checks.views import duck_views, spark_view
 from codeloom.functions.text import SPACES, regex
-from codeloom.session import scratch_path
+from codeloom.session import scratch_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +39,7 @@ class Views:
         return self.spark.read.schema(view.schema).parquet(_WRITTEN[key])
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None):

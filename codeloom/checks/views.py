@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.session import scan_partitions
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -546,11 +548,18 @@ def _needs(names: list[str]) -> list[str]:
     return done
 
 
+def _scan(spark: SparkSession, folder: str, table: str) -> str:
+    """The table in SQL, spread over all cores when its files are fewer."""
+    source = f"parquet.`{folder}/{table}.parquet`"
+    cores = scan_partitions(spark.table(source))
+    return f"(SELECT /*+ REPARTITION({cores}) */ * FROM {source})" if cores else source
+
+
 def spark_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     parts = []
     for view in _needs([name]):
         sql = _render(VIEWS[view], True)
-        sql = re.sub(r"@(\w+)", lambda m: f"parquet.`{folder}/{m[1]}.parquet`" if m[1] in TABLES else m[0], sql)
+        sql = re.sub(r"@(\w+)", lambda m: _scan(spark, folder, m[1]) if m[1] in TABLES else m[0], sql)
         parts.append(f"{view} AS ({sql})")
     return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
 

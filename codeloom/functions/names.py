@@ -39,22 +39,32 @@ def split_words(name: Column) -> Column:
     return F.transform(words, F.lower)
 
 
+def _joined(words: Column, shape: str) -> Column:
+    capital = lambda w: F.concat(F.upper(w.substr(1, 1)), w.substr(F.lit(2), F.length(w)))
+    if shape == "camelCase":
+        rest = F.transform(F.slice(words, F.lit(2), F.size(words)), capital)
+        return F.concat(words[0], F.array_join(rest, ""))
+    if shape == "PascalCase":
+        return F.array_join(F.transform(words, capital), "")
+    if shape == "UPPER_SNAKE":
+        return F.upper(F.array_join(words, "_"))
+    return F.array_join(words, "_" if shape == "snake_case" else "-")
+
+
 def convert_name(name: Column, shape: Column | str) -> Column:
     """Re-join the words of `name` in the wanted shape; a name without words stays."""
-    words = split_words(name)
-    shape = F.lit(shape) if isinstance(shape, str) else shape
-    capital = F.transform(words, lambda w: F.concat(F.upper(w.substr(1, 1)), w.substr(F.lit(2), F.length(w))))
-    pascal = F.array_join(capital, "")
-    camel = F.concat(words[0], F.array_join(F.slice(capital, F.lit(2), F.size(words)), ""))
-    converted = (
-        F.when(shape == "camelCase", camel)
-        .when(shape == "PascalCase", pascal)
-        .when(shape == "snake_case", F.array_join(words, "_"))
-        .when(shape == "UPPER_SNAKE", F.upper(F.array_join(words, "_")))
-        .when(shape == "kebab-case", F.array_join(words, "-"))
-        .otherwise(name)
-    )
-    return F.when(F.size(words) == 0, name).otherwise(converted)
+
+    def rejoin(words: Column) -> Column:
+        if isinstance(shape, str):
+            converted = _joined(words, shape)
+        else:
+            converted = name
+            for label in NAME_SHAPES:
+                converted = F.when(shape == label, _joined(words, label)).otherwise(converted)
+        return F.when(F.size(words) == 0, name).otherwise(converted)
+
+    # A one-element array binds the words, so that they are split once per name.
+    return F.transform(F.array(split_words(name)), rejoin)[0]
 
 
 def message_name(message: Column) -> Column:

@@ -52,6 +52,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scan_partitions(df: DataFrame) -> int | None:
+    """Cores to spread a scan over when its files give fewer tasks than there are cores,
+    as one large file does; None when the files already feed every core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if df.rdd.getNumPartitions() < cores else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    cores = scan_partitions(df)
+    return df.repartition(cores) if cores else df
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from codeloom.checks.views import duck_views, spark_view
 from codeloom.functions.text import SPACES, regex
@@ -16,9 +17,10 @@ ORACLES: dict[str, str] = {}
 FINDING = ["rule_id", "severity", "message", "file", "line"]
 
 
-# Tables that stand for stored input (the syntax nodes) are written once per session.
-STORED = {"v_nodes"}
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+# Tables that stand for stored input are written once per session. Nodes are laid out by
+# kind, so that a detector reads only the kinds it asks for.
+STORED = {"v_nodes": "kind"}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class Views:
@@ -28,15 +30,15 @@ class Views:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str) -> DataFrame:
-        view = spark_view(self.spark, self.folder, name)
         if name not in STORED:
-            return view
+            return spark_view(self.spark, self.folder, name)
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
-            path = scratch_path(self.spark, name)
-            view.write.parquet(path)
-            _WRITTEN[key] = path
-        return self.spark.read.schema(view.schema).parquet(_WRITTEN[key])
+            view, path = spark_view(self.spark, self.folder, name), scratch_path(self.spark, name)
+            view.write.partitionBy(STORED[name]).parquet(path)
+            _WRITTEN[key] = (path, view.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
         return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))

@@ -472,7 +472,12 @@ def _nodes(token: str, spark: bool) -> str:
             packed = "{" + ", ".join(f"'{n}': {v}" for n, v in fields) + "}"
         structs.append(f"CASE WHEN {cond} THEN {packed} END")
     if spark:
-        return f"SELECT k, n.* FROM (SELECT k, explode(array_compact(array({', '.join(structs)}))) AS n FROM {source}) x"
+        # A few rows per projection keep the generated code compilable.
+        chunks = [structs[i : i + 8] for i in range(0, len(structs), 8)]
+        return " UNION ALL ".join(
+            f"SELECT k, n.* FROM (SELECT k, explode(array_compact(array({', '.join(c)}))) AS n FROM {source}) x"
+            for c in chunks
+        )
     return (
         f"SELECT k, unnest(n) FROM (SELECT k, unnest([{', '.join(structs)}]) AS n FROM {source}) x WHERE n IS NOT NULL"
     )

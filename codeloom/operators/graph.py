@@ -16,7 +16,7 @@ from codeloom.session import cut_lineage
 
 def _local_names_under(nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """(path, import node_id, name) of the specifiers below script import statements."""
-    specifiers = with_children(of_kind(nodes, "import_specifier"), nodes, ["alias", "name"], "text", "kind")
+    specifiers = with_children(of_kind(nodes, "import_specifier"), nodes, ["name", "alias"], "text", "kind")
     first = F.coalesce("alias_text", "name_text")
     specifiers = specifiers.select(
         "path", "pre", first.alias("name"), F.coalesce("alias_kind", "name_kind").alias("name_kind")
@@ -44,7 +44,7 @@ def import_edges(nodes: DataFrame) -> DataFrame:
     scripts = imports.filter(language.isin(*catalog.SCRIPT_LANGUAGES) & (F.col("kind") == "import_statement"))
     script_nodes = nodes.filter(language.isin(*catalog.SCRIPT_LANGUAGES))
     script_rows = (
-        scripts.join(children(script_nodes, ["source"], "text"), ["path", "node_id"], "left")
+        scripts.join(children(script_nodes, "source", "text"), ["path", "node_id"], "left")
         .join(_local_names_under(script_nodes, scripts).drop("name_kind"), ["path", "node_id"], "left")
         .select("path", F.col("start_line").alias("line"), F.coalesce(quotes(F.col("source_text")), F.lit("")).alias("source"), "name")
     )
@@ -62,7 +62,7 @@ def import_edges(nodes: DataFrame) -> DataFrame:
         "path", F.col("o_node_id").alias("node_id"), "name"
     )
     python_rows = (
-        python.join(children(python_nodes, ["module_name"], "text"), ["path", "node_id"], "left")
+        python.join(children(python_nodes, "module_name", "text"), ["path", "node_id"], "left")
         .join(python_local, ["path", "node_id"], "left")
         .select("path", F.col("start_line").alias("line"), F.coalesce("module_name_text", F.lit("")).alias("source"), "name")
     )
@@ -72,7 +72,8 @@ def import_edges(nodes: DataFrame) -> DataFrame:
     declarations = of_kind(go_nodes, "import_declaration")
     specs = intervals.inside(
         of_kind(go_nodes, "import_spec"), declarations.select("path", "pre", "post"), "left_semi"
-    ).join(children(go_nodes, ["path", "name"], "text"), ["path", "node_id"], "left")
+    )
+    specs = with_children(specs, go_nodes, ["path", "name"], "text", how="left")
     bare = of_kind(go_nodes, "interpreted_string_literal").join(
         declarations.select("path", F.col("node_id").alias("parent_id")), ["path", "parent_id"], "left_semi"
     )
@@ -122,7 +123,7 @@ def export_names(nodes: DataFrame) -> DataFrame:
         of_kind(scripts, "export_statement").select("path", "pre", "post"),
         "left_semi",
     ).select("path", F.col("text").alias("name"))
-    own = children(nodes, ["name"], "text")
+    own = children(nodes, "name", "text")
     go_rows = (
         nodes.filter((language == "go") & kind.isin("function_declaration", "type_declaration"))
         .join(own, ["path", "node_id"])

@@ -14,19 +14,19 @@ from codeloom.schema import findings
 from codeloom.session import small_side
 
 
-def children(nodes: DataFrame, fields: list[str], *columns: str) -> DataFrame:
-    """Named children per parent: (path, node_id, <field>_<column>...), first child each."""
-    wanted = nodes.filter(F.col("field").isin(*fields))
-    aggs = [
-        F.min_by(c, F.when(F.col("field") == f, F.col("pre"))).alias(f"{f}_{c}") for f in fields for c in columns
-    ]
-    return (
-        wanted.groupBy("path", F.col("parent_id").alias("node_id")).agg(*aggs)
+def children(nodes: DataFrame, field: str, *columns: str) -> DataFrame:
+    """(path, node_id, <field>_<column>...) of the child under a field; the node table
+    names at most one child per field."""
+    return nodes.filter(F.col("field") == field).select(
+        "path", F.col("parent_id").alias("node_id"), *[F.col(c).alias(f"{field}_{c}") for c in columns]
     )
 
 
 def with_children(rows: DataFrame, nodes: DataFrame, fields: list[str], *columns: str, how="inner") -> DataFrame:
-    return rows.join(children(nodes, fields, *columns), ["path", "node_id"], how)
+    """Attach field children: the first field joins by `how`, the others are optional."""
+    for i, field in enumerate(fields):
+        rows = rows.join(children(nodes, field, *columns), ["path", "node_id"], how if i == 0 else "left")
+    return rows
 
 
 def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
@@ -236,7 +236,7 @@ def function_naming(nodes: DataFrame, defaults=DEFAULT_NAMING, per_language={})
     candidates = with_children(
         of_kind(scripts, "function_declaration", "method_definition", "variable_declarator"),
         scripts, ["name", "value"], "text", "kind", "start_line",
-    ).filter("name_text IS NOT NULL")
+    )
     name = F.col("name_text")
     accessors = (
         scripts.filter(F.col("kind").isin("get", "set"))
@@ -332,17 +332,17 @@ def name_harvest(nodes: DataFrame, files: DataFrame) -> DataFrame:
     ).filter((F.col("kind") != "method_definition") | (F.col("name_text") != "constructor"))
     declarators = with_children(
         of_kind(nodes, "variable_declarator"), nodes, ["name", "value"], "text", "kind"
-    ).filter("name_text IS NOT NULL AND value_kind IS NOT NULL")
+    ).filter("value_kind IS NOT NULL")
     callable_value = F.col("value_kind").isin("arrow_function", "function", "function_expression")
     variables = declarators.filter(callable_value)
-    const = nodes.filter("text = 'const'").groupBy("path", "parent_id").agg(F.min("pre").alias("keyword"))
-    first_child = nodes.groupBy("path", "parent_id").agg(F.min("pre").alias("keyword"))
-    opened = const.join(first_child, ["path", "parent_id", "keyword"], "left_semi").withColumnRenamed(
-        "parent_id", "node_id"
+    declarations = of_kind(nodes, "lexical_declaration").select("path", F.col("node_id").alias("parent_id"))
+    opened = (
+        nodes.join(declarations, ["path", "parent_id"], "left_semi")
+        .groupBy("path", "parent_id").agg(F.min_by("text", "pre").alias("keyword"))
+        .filter("keyword = 'const'")
     )
-    declarations = of_kind(nodes, "lexical_declaration").join(opened, ["path", "node_id"], "left_semi")
     constants = declarators.filter(~callable_value & F.col("name_text").rlike("^[A-Z_][A-Z0-9_]*$")).join(
-        declarations.select("path", F.col("node_id").alias("parent_id")), ["path", "parent_id"], "left_semi"
+        opened, ["path", "parent_id"], "left_semi"
     )
     classes = with_children(of_kind(nodes, "class_declaration"), nodes, ["name"], "text")
     exports = of_kind(nodes, "export_statement").select("path", F.col("node_id").alias("parent_id"))
@@ -414,12 +414,15 @@ def node_rule_match(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def functions_of(nodes: DataFrame) -> DataFrame:
-    """Function nodes of every language with their name: own name, else the variable
-    they are assigned to, else <anonymous>."""
-    functions = nodes.filter(_kinds_of(catalog.LANGUAGES, 0)).select(
-        "path", "language", "node_id", "parent_id", "pre", "post", "start_line"
+    """Function nodes of every language."""
+    return nodes.filter(_kinds_of(catalog.LANGUAGES, 0)).select(
+        "path", "node_id", "parent_id", "pre", "post", "start_line"
     )
-    own = children(nodes, ["name"], "text")
+
+
+def named_functions(functions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add function_name: the own name, else the variable it is assigned to, else <anonymous>."""
+    own = children(nodes, "name", "text")
     variables = (
         of_kind(nodes, "variable_declarator").select("path", "node_id").join(own, ["path", "node_id"])
         .select("path", F.col("node_id").alias("parent_id"), F.col("name_text").alias("variable"))
@@ -444,7 +447,7 @@ def cyclomatic_complexity(nodes: DataFrame) -> DataFrame:
     branches = of_kind(nodes, *catalog.BRANCH_KINDS).select("path", "pre")
     points = branches.unionByName(_logical(nodes).select("path", "pre")).withColumn("cyclomatic", F.lit(1).cast("long"))
     counted = intervals.subtree_sums(functions_of(nodes), points, ["cyclomatic"])
-    return counted.withColumn("cyclomatic", F.col("cyclomatic") + 1)
+    return named_functions(counted.withColumn("cyclomatic", F.col("cyclomatic") + 1), nodes)
 
 
 def cognitive_complexity(nodes: DataFrame) -> DataFrame:
@@ -478,11 +481,12 @@ def cognitive_complexity(nodes: DataFrame) -> DataFrame:
     )
     sums = intervals.subtree_sums(functions, nested.unionByName(flat), ["weight", "nested"])
     own = depth.filter("ask = 'function'").select("path", "node_id", F.col("depth").alias("own_depth"))
-    return (
+    scored = (
         sums.join(own, ["path", "node_id"])
         .withColumn("cognitive", F.col("weight") - F.col("nested") * F.col("own_depth"))
         .drop("weight", "nested", "own_depth")
     )
+    return named_functions(scored, nodes)
 
 
 def complexity_findings(scored: DataFrame, measure: str, limit: int, severity: str = "warning") -> DataFrame:

@@ -22,7 +22,9 @@ FINDING = T.StructType(
 FINDING_COLUMNS = FINDING.fieldNames()
 
 # Syntax nodes are an input table. Intervals nest: the descendants of a node are the
-# rows of the same path whose `pre` lies in (pre, post].
+# rows of the same path whose `pre` lies in (pre, post]. `field` is the name under which
+# the parent finds this node, set on the first child of that name only. Store the table
+# partitioned by `kind`: detectors read a few kinds each.
 NODE = T.StructType(
     [
         T.StructField("path", T.StringType(), False),

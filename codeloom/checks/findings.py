@@ -10,6 +10,7 @@ from codeloom.functions import identity, names
 from codeloom.functions.text import SPACES
 from codeloom.operators import edits, export, history, line_rules, pipeline
 from codeloom.operators.registry import DetectorRegistry
+from codeloom.plans import scan
 from codeloom.session import scratch_path
 from codeloom.sources import corpus, stores
 from codeloom.streaming import incremental
@@ -504,6 +505,26 @@ def _(v):
     return history.fix_summary(results)
 
 
+# --- whole runs -------------------------------------------------------------------------------
+
+_SCAN_LINES = "(SELECT path, line, content FROM v_lines WHERE path NOT LIKE '%.md') scanned"
+_SCAN = f"""
+WITH u AS (SELECT rule_id, severity, message, file, line, 0 AS o FROM ({secret_sql(_SCAN_LINES)}) s
+  UNION ALL SELECT 'security/custom-the', 'info', 'Custom security pattern matched: the', path, line, 0 FROM {_SCAN_LINES} WHERE regexp_matches(content, '\\bthe\\b')
+  UNION ALL SELECT 'style/line-length', 'info', 'Line has ' || length(content) || ' characters', path, line, 1 FROM {_SCAN_LINES} WHERE length(content) > 60),
+d AS (SELECT *, row_number() OVER (PARTITION BY rule_id, file, line ORDER BY o, message) AS i FROM u)
+SELECT rule_id, severity, message, file, line FROM d WHERE i = 1 AND file NOT LIKE 'src/src3/%'"""
+
+
+@query("scan_run", _SCAN)
+def _(v):
+    files = corpus.corpus_scan(v("v_files").select("path", "content"))
+    off = {family: False for family in catalog.FAMILY_ORDER if family != "security"}
+    settings = scan.Settings(exclude=["src/src3/**"], enabled=off, custom_patterns=[("the", r"\bthe\b", "info")])
+    plugins = [("style", lambda tables: line_rules.long_lines(tables["lines"], 60))]
+    return scan.scan({"files": files}, "all", settings, plugins).findings.select(*FINDING)
+
+
 # --- plug-ins and streams --------------------------------------------------------------------
 
 _STYLE = "SELECT 'style/line-length' AS rule_id, 'info' AS severity, 'Line has ' || length(content) || ' characters' AS message, path AS file, line FROM v_lines WHERE length(content) > 120"

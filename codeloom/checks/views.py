@@ -107,11 +107,11 @@ FROM (
 
 VIEWS["v_blocks"] = "{{blocks}}"
 
-VIEWS["v_imports"] = f"""
+VIEWS["v_imports"] = """
 SELECT path, line, '../src' || (t % 20) || '/doc_' || t || '.js' AS source
 FROM (
-  SELECT f.path, l.line, CASE l.line WHEN 1 THEN (7 * f.doc_id + 3) % c.n ELSE (f.doc_id * f.doc_id + 1) % c.n END AS t
-  FROM v_files f, (SELECT CAST(1 AS BIGINT) AS line UNION ALL SELECT 2) l, (SELECT count(*) AS n FROM @documents) c
+  SELECT path, CAST(1 AS BIGINT) AS line, (7 * doc_id + 3) % (SELECT count(*) FROM @documents) AS t FROM v_files
+  UNION ALL SELECT path, CAST(2 AS BIGINT), (doc_id * doc_id + 1) % (SELECT count(*) FROM @documents) FROM v_files
 ) x"""
 
 VIEWS["v_findings"] = """
@@ -212,8 +212,7 @@ VIEWS["v_summaries"] = """
 SELECT DISTINCT 'u' || user_id AS path, 'query' AS fn, CAST(user_id % 2 AS INT) AS idx FROM @events"""
 
 VIEWS["v_user_edges"] = """
-SELECT DISTINCT 'u' || e.user_id AS src, 'u' || ((7 * e.user_id + 3) % m.n) AS dst
-FROM @events e, (SELECT max(user_id) + 1 AS n FROM @events) m"""
+SELECT DISTINCT 'u' || user_id AS src, 'u' || ((7 * user_id + 3) % (SELECT max(user_id) + 1 FROM @events)) AS dst FROM @events"""
 
 _LETTERS = "repeat('Ab1', 20)"
 VIEWS["v_secret_lines"] = f"""

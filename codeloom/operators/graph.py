@@ -11,7 +11,7 @@ from codeloom import catalog
 from codeloom.functions import intervals, paths
 from codeloom.operators.nodes import children, of_kind, with_children
 from codeloom.schema import findings
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, scratch_path
 
 
 def _local_names_under(nodes: DataFrame, imports: DataFrame) -> DataFrame:
@@ -192,13 +192,12 @@ def distinct_edges(edges: DataFrame, scope: str | None = None) -> DataFrame:
 def graph_adjacency(edges: DataFrame, exports: DataFrame) -> DataFrame:
     """Adjacency as rows (path, relation, name): imports, imported_by, exports. Rows,
     because a common library can be imported by a third of all files."""
-    row = lambda df, path, relation, name: df.select(
+    entry = lambda path, relation, name: F.struct(
         F.col(path).alias("path"), F.lit(relation).alias("relation"), F.col(name).alias("name")
     )
-    return (
-        row(edges, "src", "imports", "dst")
-        .unionByName(row(edges, "dst", "imported_by", "src"))
-        .unionByName(row(exports, "path", "exports", "name"))
+    ends = F.array(entry("src", "imports", "dst"), entry("dst", "imported_by", "src"))
+    return edges.select(F.inline(ends)).unionByName(
+        exports.select("path", F.lit("exports").alias("relation"), "name")
     )
 
 
@@ -214,18 +213,25 @@ def consumers(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, consumer, level) of the files that import a start directly or through
     others, up to `depth` levels; the start itself is left out.
 
-    One join per level over distinct pairs; the plan is cut every second level.
+    One join per level over distinct pairs. Links and levels are written to the shared
+    folder: each level reads the ones before it, and nothing is computed twice.
     """
-    links = edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct()
-    frontier = starts.select(F.col("path").alias("start")).distinct().withColumn("at", F.col("start"))
-    reached = frontier.withColumn("level", F.lit(0))
-    for level in range(1, depth + 1):
-        step = frontier.join(links, "at").select("start", F.col("next").alias("at")).distinct()
-        frontier = step.join(reached.select("start", "at"), ["start", "at"], "left_anti")
-        if level % 2 == 0 and level < depth:
-            frontier = cut_lineage(frontier)
-        reached = reached.unionByName(frontier.withColumn("level", F.lit(level)))
-    return reached.filter("level > 0").select("start", F.col("at").alias("consumer"), "level")
+    spark = edges.sparkSession
+    links = cut_lineage(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct())
+    folder, levels = scratch_path(spark, "consumers"), []
+    step = starts.select(F.col("path").alias("start")).distinct().select("start", F.col("start").alias("node"))
+    schema = step.schema
+    for level in range(depth + 1):
+        levels.append(f"{folder}/level{level}")
+        step.write.parquet(levels[-1])
+        frontier = spark.read.schema(schema).parquet(levels[-1])
+        reached = spark.read.schema(schema).parquet(*levels)
+        found = frontier.join(links, "node").select("start", F.col("next").alias("node")).distinct()
+        step = found.join(reached, ["start", "node"], "left_anti")
+    read = lambda level: spark.read.schema(schema).parquet(levels[level]).select(
+        "start", F.col("node").alias("consumer"), F.lit(level).alias("level")
+    )
+    return reduce(DataFrame.unionByName, [read(level) for level in range(1, depth + 1)])
 
 
 def impacted_files(edges: DataFrame, changed: DataFrame, depth: int = catalog.DEFAULTS["impact_depth"]) -> DataFrame:

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from codeloom import catalog
-from codeloom.checks.base import FINDING, lit, query, trim
+from codeloom.checks.base import FINDING, query, trim
 from codeloom.checks.lines import PURL, secret_sql
 from codeloom.checks.views import EXTENSIONS as _EXTENSIONS
 from codeloom.functions import identity, names
 from codeloom.functions.text import SPACES
-from codeloom.operators import edits, export, history, line_rules, pipeline
+from codeloom.operators import edits, export, history, line_rules, results
 from codeloom.operators.registry import DetectorRegistry
 from codeloom.plans import scan
 from codeloom.session import scratch_path
@@ -21,7 +21,7 @@ _FIRST = (
 
 
 def deduped(v):
-    return pipeline.dedupe_findings(v("v_findings"), ["seq"])
+    return results.dedupe_findings(v("v_findings"), ["seq"])
 
 
 def flagship(v):
@@ -48,13 +48,13 @@ def _(v):
 
 @query("severity_at_least", "SELECT seq, severity FROM v_findings WHERE severity IN ('warning', 'error')")
 def _(v):
-    return pipeline.severity_at_least(v("v_findings"), "warning").select("seq", "severity")
+    return results.severity_at_least(v("v_findings"), "warning").select("seq", "severity")
 
 
 @query("enabled_filter", "SELECT seq, analyzer FROM v_findings WHERE analyzer NOT IN ('click', 'view')")
 def _(v):
     enabled = {"click": False, "view": False, "error": True}
-    return pipeline.enabled_filter(v("v_findings"), enabled).select("seq", "analyzer")
+    return results.enabled_filter(v("v_findings"), enabled).select("seq", "analyzer")
 
 
 _PARTS = """
@@ -69,7 +69,7 @@ u AS (SELECT rule_id, severity, message, file, line, 0 AS family_order FROM v_fi
 def _(v):
     lines = v("v_lines").withColumn("path", F.concat(F.lit("src/u"), F.col("doc_id") % 10, F.lit(".ts")))
     second = line_rules.long_lines(lines, 30).withColumn("rule_id", F.lit("rule/click"))
-    merged = pipeline.merge_findings([v("v_findings"), second], F.lit("all"))
+    merged = results.merge_findings([v("v_findings"), second], F.lit("all"))
     return merged.select("rule_id", "severity", "message", "file", "line", "family_order", "run_id")
 
 
@@ -114,7 +114,7 @@ _MIDDLE = "'2024-01-10'"
 def _(v):
     every = v("v_findings")
     baseline = stores.baseline_rows(every.filter(f"run_id < {_MIDDLE}"))
-    return pipeline.baseline_filter(every.filter(f"run_id >= {_MIDDLE}"), baseline).select("seq", "rule_id", "file", "message")
+    return results.baseline_filter(every.filter(f"run_id >= {_MIDDLE}"), baseline).select("seq", "rule_id", "file", "message")
 
 
 @query(
@@ -139,7 +139,7 @@ def _(v):
         ELSE regexp_matches(f.file, '^' || replace(replace(d.pattern, '.', '\\.'), '?', '[^/]') || '$') END)""",
 )
 def _(v):
-    return pipeline.dismissal_filter(v("v_findings"), v("v_dismissals")).select("seq", "rule_id", "file", "message")
+    return results.dismissal_filter(v("v_findings"), v("v_dismissals")).select("seq", "rule_id", "file", "message")
 
 
 _RUN_COLUMNS = ["repo", "run_id", "total_findings", "errors", "warnings", "infos"]
@@ -270,12 +270,12 @@ FROM repos p CROSS JOIN {_RULES} LEFT JOIN s ON s.repo = p.repo AND s.family = r
 
 @query("rule_catalog", _CATALOG)
 def _(v):
-    return pipeline.rule_catalog(rule_settings(v))
+    return results.rule_catalog(rule_settings(v))
 
 
 @query("rule_catalog_counts", f"SELECT repo, count(*) FILTER (enabled) AS enabled, count(*) AS total FROM ({_CATALOG}) c GROUP BY repo")
 def _(v):
-    return pipeline.enabled_counts(pipeline.rule_catalog(rule_settings(v)))
+    return results.enabled_counts(results.rule_catalog(rule_settings(v)))
 
 
 _FIX_RULE = (
@@ -291,7 +291,7 @@ _FIX_RULE = (
 def _(v):
     fixers = {"ai-smell/unused-import": "remove-import", "convention/function-naming": "rename"}
     ruled = v("v_findings").withColumn("rule_id", F.expr(_FIX_RULE))
-    return pipeline.fix_lookup(ruled, fixers).select("seq", "rule_id", "fixer")
+    return results.fix_lookup(ruled, fixers).select("seq", "rule_id", "fixer")
 
 
 _KEY = "sha256(rule_id || chr(0) || file || chr(0) || line || chr(0) || coalesce(code_snippet, ''))"
@@ -308,7 +308,7 @@ def _(v):
     cache = every.filter(f"run_id < {_MIDDLE}").groupBy(key.alias("key")).agg(
         F.concat(F.lit("cached "), F.min("seq").cast("string")).alias("value")
     )
-    return pipeline.suggestion_enrich(every, cache).select("seq", "suggestion")
+    return results.suggestion_enrich(every, cache).select("seq", "suggestion")
 
 
 @query(
@@ -320,7 +320,7 @@ def _(v):
 )
 def _(v):
     every = v("v_findings")
-    return pipeline.finding_lifecycle(every.filter(f"run_id < {_MIDDLE}"), every.filter(f"run_id >= {_MIDDLE}"))
+    return results.finding_lifecycle(every.filter(f"run_id < {_MIDDLE}"), every.filter(f"run_id >= {_MIDDLE}"))
 
 
 # --- runs -----------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeloom import catalog
-from codeloom.checks.base import FINDING, in_list, lit, query
+from codeloom.checks.base import FINDING, lit, query
 from codeloom.functions import identity
 from codeloom.operators import duplicates, graph, taint
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codeloom import catalog
 from codeloom.checks.base import FINDING, fixed, hit, in_list, lit, query, rx, trim
 from codeloom.functions import identity, names, paths, text
-from codeloom.operators import line_rules, nodes, pipeline, supply
+from codeloom.operators import line_rules, nodes, results, supply
 from codeloom.sources import corpus, reports
 
 LANGUAGE_ROWS = "(VALUES " + ", ".join(f"('{e}', '{l}')" for e, l in catalog.LANGUAGE_BY_EXTENSION.items()) + ") lang_of(ext, language)"
@@ -444,7 +444,7 @@ def _(v):
 
 @query(
     "changed_line_semi",
-    f"""WITH s AS ({secret_sql('v_lines')}), long AS (SELECT path AS file, line FROM v_lines WHERE length(content) > 60)
+    """WITH long AS (SELECT path AS file, line FROM v_lines WHERE length(content) > 60)
     SELECT file, line FROM long WHERE EXISTS (SELECT 1 FROM v_changes c WHERE c.change_type = 'added' AND c.path = long.file AND c.line = long.line)""",
 )
 def _(v):
@@ -477,7 +477,7 @@ _DIRECTIVES = _directive_sql("scan-ignore-line", 0, True) + " UNION ALL " + _dir
 
 @query("suppression_directives", _DIRECTIVES)
 def _(v):
-    return pipeline.suppression_directives(v("v_lines_ann"))
+    return results.suppression_directives(v("v_lines_ann"))
 
 
 _LONG = (
@@ -495,7 +495,7 @@ def _(v):
     lines = v("v_lines_ann")
     other = F.when(F.col("line") % 2 == 0, F.col("rule_id")).otherwise("style/other")
     long = line_rules.long_lines(lines, 30).withColumn("rule_id", other)
-    return pipeline.suppress(long, pipeline.suppression_directives(lines)).select(*FINDING)
+    return results.suppress(long, results.suppression_directives(lines)).select(*FINDING)
 
 
 @query(
@@ -522,7 +522,7 @@ def _(v):
 def _(v):
     overrides = [("src/src1*/**", {"fail_on": "info"}), ("**/*.py", {"fail_on": "warning", "max_warnings": 5})]
     base = {"fail_on": "error", "max_warnings": 20}
-    return pipeline.first_setting(v("v_files").select("path"), overrides, base)
+    return results.first_setting(v("v_files").select("path"), overrides, base)
 
 
 # --- coverage -------------------------------------------------------------------------------

@@ -6,8 +6,6 @@ result or component plus one header row; a writer concatenates them file by file
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -6,7 +6,7 @@ the lines and no join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import catalog
@@ -239,8 +239,8 @@ def _line_rules(lines: DataFrame, kind: str, severity: str) -> DataFrame:
     rules = []
     for of, rule, patterns, ignore_case, message in IAC_LINE_RULES:
         if of == kind:
-            hit = content.rlike("|".join(f"(?:{regex(p)})" for p in patterns) if not ignore_case
-                                else "(?i)" + "|".join(f"(?:{regex(p)})" for p in patterns))
+            either = "|".join(f"(?:{regex(p)})" for p in patterns)
+            hit = content.rlike(("(?i)" if ignore_case else "") + either)
             rules.append((hit, {"rule_id": rule, "message": message}))
     matched = match_rules(_of_kind(lines, kind), rules)
     return _iac(matched, F.col("rule_id"), F.col("message"), severity, code_snippet=text.trim(content))

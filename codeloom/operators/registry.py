@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import pipeline
+from codeloom.operators import results
 from codeloom.schema import FINDING, FINDING_COLUMNS
 
 Tables = dict[str, DataFrame]
@@ -59,5 +59,5 @@ class DetectorRegistry:
             parts.append(found.select(*FINDING_COLUMNS))
         if not parts:
             raise ValueError("no detector to run")
-        merged = pipeline.merge_findings(parts, F.lit(run_id))
-        return pipeline.dedupe_findings(merged, ["family_order", "message"])
+        merged = results.merge_findings(parts, F.lit(run_id))
+        return results.dedupe_findings(merged, ["family_order", "message"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import catalog
-from codeloom.operators import duplicates, graph, history, line_rules, nodes, pipeline, supply, taint
+from codeloom.operators import duplicates, graph, history, line_rules, nodes, results, supply, taint
 from codeloom.operators.registry import Detector, DetectorRegistry, Tables
 from codeloom.session import cut_lineage
 from codeloom.sources import corpus
@@ -174,13 +174,13 @@ def scan(tables: Tables, run_id: str, settings: Settings | None = None, plugins:
     registry.load(plugins)
 
     found = registry.run(given, run_id, settings.enabled)
-    found = pipeline.suppress(found, pipeline.suppression_directives(lines, settings.keyword))
+    found = results.suppress(found, results.suppression_directives(lines, settings.keyword))
     if "dismissals" in tables:
-        found = pipeline.dismissal_filter(found, tables["dismissals"])
+        found = results.dismissal_filter(found, tables["dismissals"])
     if "suggestions" in tables:
-        found = pipeline.suggestion_enrich(found, tables["suggestions"])
+        found = results.suggestion_enrich(found, tables["suggestions"])
     if "baseline" in tables:
-        found = pipeline.baseline_filter(found, tables["baseline"])
+        found = results.baseline_filter(found, tables["baseline"])
     # Summary, breakdowns and exports read the findings several times.
     found = cut_lineage(found)
     return Run(found, history.run_summary(found, ["run_id"]), history.finding_breakdowns(found))

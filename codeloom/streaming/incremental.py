@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import line_rules, pipeline
+from codeloom.operators import line_rules, results
 from codeloom.sources import corpus
 
 
@@ -15,7 +15,7 @@ def incremental_check(files: DataFrame, baseline: DataFrame | None, out: str, ch
     batch once; the checkpoint remembers which files were read."""
     found = line_rules.secret_scan(corpus.line_explode(files))
     if baseline is not None:
-        found = pipeline.baseline_filter(found, baseline)
+        found = results.baseline_filter(found, baseline)
     query = (
         found.writeStream.format("parquet")
         .option("path", out)

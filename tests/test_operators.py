@@ -5,8 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions.identity import shape_key
-from codeloom.operators import duplicates, edits, graph, line_rules, nodes, pipeline, supply, taint
+from codeloom.operators import duplicates, edits, graph, line_rules, nodes, results, supply, taint
 from codeloom.operators.registry import DetectorRegistry
 from codeloom.plans import scan
 
@@ -263,9 +262,9 @@ def test_registry_skips_broken_detectors(spark, rows):
 
 def test_dedupe_is_idempotent(spark, rows):
     found = spark.createDataFrame([("r", "x", "f", 1, i) for i in range(4)] + [("r", "x", "f", 2, 9)], "run_id string, rule_id string, file string, line long, seq long")
-    once = pipeline.dedupe_findings(found, ["seq"])
+    once = results.dedupe_findings(found, ["seq"])
     assert rows(once, "line", "seq") == [(1, 0), (2, 9)]
-    assert rows(pipeline.dedupe_findings(once, ["seq"])) == rows(once)
+    assert rows(results.dedupe_findings(once, ["seq"])) == rows(once)
 
 
 def test_diff_run_reports_added_lines_only(spark, rows):

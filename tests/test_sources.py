@@ -1,6 +1,5 @@
 from codeloom.sources import corpus, reports, stores
-from codeloom.operators import pipeline
-from pyspark.sql import functions as F
+from codeloom.operators import results
 
 DIFF = """diff --git a/src/a.ts b/src/a.ts
 index 1..2 100644
@@ -109,12 +108,12 @@ def test_suppression(spark, rows):
         ],
         "path string, language string, line long, content string",
     )
-    directives = pipeline.suppression_directives(lines)
+    directives = results.suppression_directives(lines)
     assert rows(directives) == [("a.ts", 2, "rule/x"), ("a.ts", 3, None), ("a.ts", 6, None), ("b.py", 2, None)]
     found = spark.createDataFrame(
         [("rule/x", "a.ts", 2), ("rule/y", "a.ts", 2), ("rule/y", "a.ts", 3), ("rule/y", "b.py", 2)], "rule_id string, file string, line long"
     )
-    assert rows(pipeline.suppress(found, directives)) == [("rule/y", "a.ts", 2)]
+    assert rows(results.suppress(found, directives)) == [("rule/y", "a.ts", 2)]
 
 
 def test_baseline_ignores_lines_and_keeps_new(spark, rows):
@@ -123,9 +122,9 @@ def test_baseline_ignores_lines_and_keeps_new(spark, rows):
     new = spark.createDataFrame(
         [("r", "f", "other", 9, " a b "), ("r", "g", "m2", 8, "x"), ("r", "g", "m3", 2, None), ("s", "f", "m1", 1, "a b")], schema
     )
-    kept = pipeline.baseline_filter(new, stores.baseline_rows(old))
+    kept = results.baseline_filter(new, stores.baseline_rows(old))
     assert rows(kept, "rule_id", "message") == [("r", "m3"), ("s", "m1")]
-    assert pipeline.baseline_filter(old, stores.baseline_rows(old)).count() == 0
+    assert results.baseline_filter(old, stores.baseline_rows(old)).count() == 0
 
 
 def test_dismissals_in_chunks(spark, rows):
@@ -133,4 +132,4 @@ def test_dismissals_in_chunks(spark, rows):
     entries = spark.createDataFrame(
         [("r0", "m 0", "message"), ("r1", "m 0", "message"), ("*", "src/f[45].ts", "file")], "rule_id string, pattern string, pattern_type string"
     )
-    assert rows(pipeline.dismissal_filter(found, entries, chunk=1), "rule_id") == [("r1",), ("r2",), ("r3",)]
+    assert rows(results.dismissal_filter(found, entries, chunk=1), "rule_id") == [("r1",), ("r2",), ("r3",)]

@@ -110,8 +110,8 @@ VIEWS["v_blocks"] = "{{blocks}}"
 VIEWS["v_imports"] = """
 SELECT path, line, '../src' || (t % 20) || '/doc_' || t || '.js' AS source
 FROM (
-  SELECT path, CAST(1 AS BIGINT) AS line, (7 * doc_id + 3) % (SELECT count(*) FROM @documents) AS t FROM v_files
-  UNION ALL SELECT path, CAST(2 AS BIGINT), (doc_id * doc_id + 1) % (SELECT count(*) FROM @documents) FROM v_files
+  SELECT path, line, CASE line WHEN 1 THEN (7 * doc_id + 3) % n ELSE (doc_id * doc_id + 1) % n END AS t
+  FROM (SELECT path, doc_id, (SELECT count(*) FROM @documents) AS n, {{one_two}} AS line FROM v_files) f
 ) x"""
 
 VIEWS["v_findings"] = """
@@ -489,6 +489,8 @@ def _render(sql: str, spark: bool) -> str:
             return "STRING" if spark else "VARCHAR"
         if name == "quote":
             return "\\'" if spark else "''"
+        if name == "one_two":
+            return "explode(array(1L, 2L))" if spark else "unnest([1, 2]::BIGINT[])"
         if name == "quote_char":
             return "chr(39)"
         if name == "camel":

@@ -301,9 +301,13 @@ def layer_violation(
             broken = broken | ~target.isin(*allow)
         violated = F.when(here == origin, broken).otherwise(violated)
         allowed = F.when(here == origin, F.lit(", ".join(allow) or "none")).otherwise(allowed)
+    both = F.struct(
+        layer_of(F.col("path"), layers).alias("source_layer"), layer_of(F.col("target_path"), layers).alias("target_layer")
+    )
+    # Generators end a projection: the path and the layers are computed once per import.
     crossing = (
-        imports.withColumn("source_layer", layer_of(F.col("path"), layers))
-        .withColumn("target_layer", layer_of(target_path, layers))
+        imports.withColumn("target_path", F.explode(F.array(target_path)))
+        .select("path", "line", F.inline(F.array(both)))
         .filter((here != target) & violated)
     )
     return findings(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
@@ -23,6 +26,20 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, which may run without its folder."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED or not package.is_dir():
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

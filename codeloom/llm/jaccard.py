@@ -164,8 +164,8 @@ def classes_of(signed: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(class_id, group) to look into: the group's union has one of the class's rare tokens,
-    and its sizes fit."""
+    """(class_id, group) to look into: the group's union has enough of the class's rare
+    tokens, and its sizes fit."""
     rows = classes.select(F.explode("rare").alias("token"), "class_id")
     is_frequent = F.lit(False)
     if len(frequent):
@@ -191,7 +191,19 @@ def candidates(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFr
     fits = (F.col("n") * 100 >= F.col("from") * percent) & (F.col("to") * 100 >= F.col("n") * percent)
     other = (F.col("lo") != F.col("class_id")) | (F.col("hi") != F.col("class_id"))
     pairs = shared.drop("group").join(matrix, "token").where(fits & other)
-    return written(pairs.select("class_id", "group").distinct())
+    # Of two partners, the one whose rare tokens end first has all its common rare tokens among
+    # the other's; beyond them it has room for `needed - 1` more. So the number of rare tokens
+    # that meet bounds the overlap with any member, and it must reach what partners share.
+    n, found = F.col("n"), F.col("found")
+    least = lambda size: (n + size) * percent / (100 + percent)
+    by_query = found + F.ceil(n * percent / 100) - 1 >= least(F.col("from"))
+    by_member = found + F.ceil(F.col("to") * percent / 100) >= least(F.col("to"))
+    return written(
+        pairs.groupBy("class_id", "group", "n")
+        .agg(F.count("*").alias("found"), F.min("from").alias("from"), F.max("to").alias("to"))
+        .where(by_query | by_member)
+        .select("class_id", "group")
+    )
 
 
 def sets_of(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:

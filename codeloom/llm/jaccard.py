@@ -156,41 +156,48 @@ def classes_of(signed: DataFrame, percent: int) -> DataFrame:
         .withColumn("alike", F.xxhash64("least", "band"))
         .drop("least", "band")
     )
-    large = found.groupBy("alike").count().where(F.col("count") > GROUP).select(
-        "alike", F.ceil(F.col("count") / GROUP).alias("parts")
+    large = written(
+        found.groupBy("alike").count().where(F.col("count") > GROUP).select(
+            "alike", F.ceil(F.col("count") / GROUP).alias("parts")
+        )
     )
     part = F.pmod(F.xxhash64("class_id"), F.coalesce("parts", F.lit(1)))
-    return written(found.join(large, "alike", "left").withColumn("group", F.xxhash64("alike", part)).drop("alike", "parts"))
+    return found.join(large, "alike", "left").withColumn("group", F.xxhash64("alike", part)).drop("alike", "parts")
+
+
+def _meeting(shared: DataFrame, percent: int) -> DataFrame:
+    """Per class, group and token of both: the sizes of the group's classes with the token.
+    Another class than the asking one must have it, of a size that fits."""
+    matrix = shared.groupBy("token", "group").agg(
+        F.min("n").alias("from"), F.max("n").alias("to"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")
+    )
+    fits = (F.col("n") * 100 >= F.col("from") * percent) & (F.col("to") * 100 >= F.col("n") * percent)
+    other = (F.col("lo") != F.col("class_id")) | (F.col("hi") != F.col("class_id"))
+    pairs = shared.drop("group").join(matrix, "token").where(fits & other)
+    return pairs.select("class_id", "group", "n", "from", "to")
 
 
 def candidates(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """(class_id, group) to look into: the group's union has enough of the class's rare
     tokens, and its sizes fit."""
-    rows = classes.select(F.explode("rare").alias("token"), "class_id")
+    rows = classes.select(F.explode("rare").alias("token"), "class_id", "group", "n")
     is_frequent = F.lit(False)
     if len(frequent):
         # A broadcast of at most FREQUENT_KEPT numbers.
         often = classes.sparkSession.createDataFrame([(int(t),) for t in frequent], "often long")
         rows = rows.join(F.broadcast(often), F.col("token") == F.col("often"), "left")
         is_frequent = F.col("often").isNotNull()
-    # Most rare tokens belong to one class only and go here, after one shuffle. Frequent tokens
-    # skip the window, so none of its partitions is hot.
+    # Most rare tokens belong to one class only. They are dealt by token once, and what is
+    # done with the others stays in the same partitions. Frequent tokens skip this, so that
+    # no partition is hot, and are combined before they are dealt.
     own = W.partitionBy("token")
-    several = (
-        rows.where(~is_frequent).select("token", "class_id")
+    usual = (
+        rows.where(~is_frequent).select("token", "class_id", "group", "n")
         .withColumn("lo", F.min("class_id").over(own)).withColumn("hi", F.max("class_id").over(own))
-        .where(F.col("lo") < F.col("hi")).select("token", "class_id")
+        .where(F.col("lo") < F.col("hi")).drop("lo", "hi")
     )
-    shared = several.unionByName(rows.where(is_frequent).select("token", "class_id"))
-    shared = written(shared.join(classes.select("class_id", "group", "n"), "class_id"))
-    matrix = written(
-        shared.groupBy("token", "group").agg(
-            F.min("n").alias("from"), F.max("n").alias("to"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")
-        )
-    )
-    fits = (F.col("n") * 100 >= F.col("from") * percent) & (F.col("to") * 100 >= F.col("n") * percent)
-    other = (F.col("lo") != F.col("class_id")) | (F.col("hi") != F.col("class_id"))
-    pairs = shared.drop("group").join(matrix, "token").where(fits & other)
+    often_met = rows.where(is_frequent).select("token", "class_id", "group", "n")
+    pairs = _meeting(usual, percent).unionByName(_meeting(written(often_met), percent))
     # Of two partners, the one whose rare tokens end first has all its common rare tokens among
     # the other's; beyond them it has room for `needed - 1` more. So the number of rare tokens
     # that meet bounds the overlap with any member, and it must reach what partners share.
@@ -206,22 +213,27 @@ def candidates(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFr
     )
 
 
-def sets_of(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(class_id, tokens) of the given classes, from the text of one row of each."""
+def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(class_id, roles, tokens) of the wanted classes, from the text of one row of each."""
+    key = lambda doc_id, text_hash: [
+        doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_hash.alias("hash")
+    ]
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-        F.col("text").cast("binary").alias("text"),
-    )
-    wanted = classes.select("class_id", F.col("source.doc_id").alias("id"), F.col("source.text_hash").alias("hash"))
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+        *key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))), F.col("text").cast("binary").alias("text")
+    )
+    wanted = wanted.select(*key(F.col("source.doc_id"), F.col("source.text_hash")), "class_id", "roles")
+    # Rows that repeat id and text are read once.
+    rows = rows.join(wanted, ["no_id", "id", "hash"]).dropDuplicates(["no_id", "id", "hash"])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(text, size) for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["class_id"], pa.array(own, pa.list_(pa.int64()))], names=["class_id", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["class_id"], batch["roles"], pa.array(own, pa.list_(pa.int64()))], names=["class_id", "roles", "tokens"]
+            )
 
-    # Rows that repeat id and text give their set several times.
-    return rows.select("class_id", "text").mapInArrow(tokens, "class_id long, tokens array<long>").dropDuplicates(["class_id"])
+    roles = wanted.schema["roles"].dataType.simpleString()
+    return rows.select("class_id", "roles", "text").mapInArrow(tokens, f"class_id long, roles {roles}, tokens array<long>")
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +244,10 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(joined.flatten(), dtype=np.int64), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def compare(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
+def compare(rows: pa.Table, percent: int) -> pa.Table:
     """Links of queries with the members of one group: per class the number of rows it is
     linked to, and edges that keep connected what the links connect."""
+    members, queries = rows.filter(rows["member"]), rows.filter(rows["asks"])
     ids, copies = members["class_id"].to_numpy(), members["copies"].to_numpy()
     flat, ends = _lists(members["tokens"])
     sizes = np.diff(ends)
@@ -286,25 +299,33 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     signed = written(signatures(documents, size, percent, frequent, counts))
     classes = classes_of(signed, percent)
     cand = candidates(classes, frequent, percent)
-    opened = classes.join(cand.select("group").distinct(), "group", "left_semi").select("class_id", "group", "copies")
-    involved = opened.select("class_id").unionByName(cand.select("class_id")).distinct()
-    wanted = classes.join(involved, "class_id", "left_semi").select("class_id", "source")
-    sets = written(sets_of(documents, wanted, size))
-
-    asked = cand.groupBy("group").agg(F.count("*").alias("asking")).select(
-        "group", F.ceil(F.col("asking") / QUERIES).cast("int").alias("parts")
+    asked = written(
+        cand.groupBy("group").agg(F.count("*").alias("asking")).select(
+            "group", F.ceil(F.col("asking") / QUERIES).cast("int").alias("parts")
+        )
     )
-    members = opened.join(asked, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    queries = cand.join(asked, "group").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
-    members = members.select("group", "part", "class_id", "copies").join(sets, "class_id")
-    queries = queries.select("group", "part", "class_id").join(sets, "class_id")
-    # Both sides come from the same tables; new aliases keep their columns apart.
-    members = members.select(*(F.col(c).alias(c) for c in ("group", "part", "class_id", "copies", "tokens")))
-    queries = queries.select(*(F.col(c).alias(c) for c in ("group", "part", "class_id", "tokens")))
+    # What each class does where: it is a member of its own group, in every part, if that is
+    # opened, and asks in one part of each group that it may have a partner in.
+    members = classes.select("class_id", "group", "copies").join(asked, "group").select(
+        "class_id", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(True).alias("member"), F.lit(False).alias("asks"), "copies",
+    )
+    asking = cand.join(asked, "group").select(
+        "class_id", "group", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"),
+        F.lit(False).alias("member"), F.lit(True).alias("asks"), F.lit(0).cast("long").alias("copies"),
+    )
+    role = F.struct("group", "part", "member", "asks", "copies")
+    roles = (
+        members.unionByName(asking).groupBy("class_id", "group", "part")
+        .agg(F.max("member").alias("member"), F.max("asks").alias("asks"), F.max("copies").alias("copies"))
+        .groupBy("class_id").agg(F.collect_list(role).alias("roles"))
+    )
+    wanted = written(classes.select("class_id", "source").join(roles, "class_id"))
+    sets = sets_of(documents, wanted, size).select("class_id", "tokens", F.explode("roles").alias("role"))
     found = written(
-        members.groupBy("group", "part")
-        .cogroup(queries.groupBy("group", "part"))
-        .applyInArrow(lambda left, right: compare(left, right, percent), "class_id long, links long, root long")
+        sets.select("class_id", "tokens", "role.*")
+        .groupBy("group", "part")
+        .applyInArrow(lambda rows: compare(rows, percent), "class_id long, links long, root long")
     )
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))

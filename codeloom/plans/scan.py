@@ -118,7 +118,12 @@ def families(settings: Settings) -> dict[str, tuple[list[str], Detector]]:
     def coverage(t: Tables) -> DataFrame:
         parts = [supply.file_coverage(t["coverage"], s.min_coverage)]
         if t.get("changed") is not None:
-            parts.append(supply.new_code_coverage(t["changed"], t["coverage"], s.min_new_code_coverage))
+            # Reports name files by other roots than the tree does.
+            reports = t["coverage"].withColumnRenamed("path", "report_path")
+            matched = supply.coverage_path_match(t["changed"], reports.withColumn("ord", F.lit(0)))
+            parts.append(
+                supply.new_code_coverage(t["changed"], reports.join(matched, "report_path"), s.min_new_code_coverage)
+            )
         return _union(parts)
 
     edges = lambda t: graph.import_resolve(t["imports"], t["files"])

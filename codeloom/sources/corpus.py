@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,13 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
         .text(root, wholetext=True)
     )
     full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    prefix = root.rstrip("/") + "/"
+    # Both as the file system names them; local paths come with one or three slashes.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = re.sub("^file:/+", "file:/", system.makeQualified(folder).toString()).rstrip("/") + "/"
+    one_slash = F.regexp_replace(full, "^file:/+", "file:/")
     return spark_files.select(
-        F.substring_index(full, prefix, -1).alias("path"), F.col("value").alias("content")
+        F.substring(one_slash, F.lit(len(prefix) + 1), F.length(one_slash)).alias("path"), F.col("value").alias("content")
     )
 
 

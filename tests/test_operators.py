@@ -258,6 +258,18 @@ def test_registry_skips_broken_detectors(spark, rows):
         registry.load([("wrong", lambda t: t["lines"]), ("boom", lambda t: 1 / 0), ("style", lambda t: line_rules.long_lines(t["lines"], 5))])
         found = registry.run({"lines": lines}, "r")
     assert rows(found, "rule_id", "file", "line", "run_id") == [("style/line-length", "a", 1, "r")]
+    assert [name for name, _ in registry.failures] == ["wrong", "boom"]
+    registry.register("built-in", lambda t: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        registry.run({"lines": lines}, "r")
+
+
+def test_new_code_coverage_matches_report_paths(spark, rows):
+    files = spark.createDataFrame([("src/a.ts", "x\ny", "typescript", "modified")], "path string, content string, language string, status string")
+    diffs = spark.createDataFrame([(1, "diff --git a/src/a.ts b/src/a.ts\n@@ -1,0 +1,2 @@\n+x\n+y")], "diff_id long, diff string")
+    coverage = spark.createDataFrame([("/repo/src/a.ts", 1, 0), ("/repo/src/a.ts", 2, 0)], "path string, line long, hits long")
+    run = scan.check_diff(diffs, files, "r", coverage=coverage)
+    assert ("coverage/uncovered-new-code", "src/a.ts") in rows(run.findings, "rule_id", "file")
 
 
 def test_dedupe_is_idempotent(spark, rows):

@@ -54,6 +54,14 @@ def test_read_tree(spark, rows, tmp_path):
     assert rows(corpus.line_explode(files), "line", "content") == [(1, "x"), (2, "y"), (3, "")]
 
 
+def test_read_tree_strips_the_root_once(spark, rows, tmp_path):
+    for folder in ("src/x", "src/lib/src/x"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "a.ts").write_text("x")
+    for root in (f"{tmp_path}/src", f"file://{tmp_path}/src/", f"file:{tmp_path}/src"):
+        assert rows(corpus.read_tree(spark, root), "path") == [("lib/src/x/a.ts",), ("x/a.ts",)]
+
+
 def test_manifests(spark, rows):
     npm = '{"dependencies": {"@s/a": "^1.2.0", "b": ">=2"}, "devDependencies": {"c": "3.0.0"}}'
     go = "module m\nrequire (\n\texample.com/x v1.2.3\n)\n"

@@ -25,6 +25,8 @@ from codeloom.llm.common import ship, written
 #: Sentences and words of a run, at least, and words after which a comma ends a sentence.
 SENTENCES, WORDS = 2, 20
 LONG = 12
+#: Runs with more than this part of all occurrences skip the shuffle.
+HOT = 1024
 
 # A sentence's end with the white space behind it; group 1 is an end at any length.
 END = re.compile(r"([.!?]+(?=\s)|\n)\s*|[,;:]\s+")
@@ -88,11 +90,21 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
     spans = written(spans_of(documents))
     # Combined in each task before the shuffle: a passage of a third of all documents is a
-    # row per task here, and its occurrences meet one row in the join.
+    # row per task here.
     place = F.struct("doc_id", "text_hash", "start")
-    first = spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first")
-    return spans.join(first, "hash").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "start", "end")
+    first = spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = first.where(~F.col("first").eqNullSafe(F.col("last")))
+    # A hot run has more than 1 / HOT of all occurrences, so there are fewer than HOT hot runs.
+    # Their first places go to the occurrences; only those of other runs are shuffled.
+    hot = F.col("n") * HOT > spans.count()
+    hottest = first.where(hot).select(F.col("hash").alias("hot_hash"), F.col("first").alias("hot_first"))
+    marked = spans.join(F.broadcast(hottest), F.col("hash") == F.col("hot_hash"), "left")
+    usual = marked.where(F.col("hot_hash").isNull()).join(first.where(~hot).select("hash", "first"), "hash")
+    found = [
+        rows.where(~place.eqNullSafe(F.col(at))).select("doc_id", "text_hash", "start", "end")
+        for rows, at in ((marked.where(F.col("hot_hash").isNotNull()), "hot_first"), (usual, "first"))
+    ]
+    return found[0].unionByName(found[1])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:

@@ -210,7 +210,9 @@ def test_one_document_of_each_group_stays(nasty):
     assert all(ids[300 + i] == 1 for i in range(20)) and ids[5] == 2
 
 
-def test_repeats(nasty):
+@pytest.mark.parametrize("hot", [1, repeats.HOT], ids=["no run is hot", "runs are hot"])
+def test_repeats(nasty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     got = Counter((r.row.doc_id, r.text) for r in repeats.remove_repeats(nasty).collect())
     rows = texts(nasty)
     key = lambda doc, text: (doc is not None, doc or 0, text)

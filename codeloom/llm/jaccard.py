@@ -1,8 +1,8 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, through a
 token-group matrix.
 
-Documents with one set of shingles are one class. Classes that are alike (same least hash,
-similar size) form groups of bounded size, and each group keeps the union of its tokens. The
+Documents with one set of shingles are one class. Classes that are alike (similar size, and
+of their least hashes by several orders the one that most classes share) form groups of bounded size, and each group keeps the union of its tokens. The
 matrix has a row per token and group. A class can only have a partner in groups whose union
 holds enough of its tokens: the rows of its few rarest tokens name the groups to consider,
 the overlap with the whole union decides which are opened, and only in opened groups are
@@ -40,6 +40,8 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.005, 8
 FREQUENT_KEPT = 1 << 16
 #: Classes of a group, and queries compared with a group in one task, at most about.
 GROUP, QUERIES = 2048, 2048
+#: Odd multipliers, each of which orders the tokens in another way for a least hash.
+ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
@@ -108,7 +110,7 @@ def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.nda
 def signatures(
     documents: DataFrame, size: int, percent: int, tokens: np.ndarray, counts: np.ndarray
 ) -> DataFrame:
-    """Per row: id, text hash, set size, set digest, least hash, and the rarest tokens of which
+    """Per row: id, text hash, set size, set digest, least hashes, and the rarest tokens of which
     every partner must have at least one. Whole sets stay behind."""
     shared = documents.sparkSession.sparkContext.broadcast((tokens, counts))
 
@@ -122,27 +124,28 @@ def signatures(
                 n.append(len(own))
                 one.append(int(digest[0]))
                 two.append(int(digest[1]))
-                least.append(int((own.view(np.uint64) * MULTIPLIER).view(np.int64).min()) if len(own) else 0)
+                least.append([int((own.view(np.uint64) * o).view(np.int64).min()) for o in ORDERS] if len(own) else [])
                 if len(own) and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     rank = np.where(frequent[at] == own, often[at], 0)
                     own = own[np.lexsort((own, rank))]
                 rare.append(own[: len(own) - needed(len(own), percent) + 1] if len(own) else own)
             columns = [batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(one, pa.int64())]
-            columns += [pa.array(two, pa.int64()), pa.array(least, pa.int64()), pa.array(rare, pa.list_(pa.int64()))]
+            columns += [pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "one", "two", "least", "rare"])
 
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("binary").alias("text"),
     )
-    schema = "doc_id long, text_hash long, n long, one long, two long, least long, rare array<long>"
+    schema = "doc_id long, text_hash long, n long, one long, two long, least array<long>, rare array<long>"
     return rows.mapInArrow(sign, schema)
 
 
 def classes_of(signed: DataFrame, percent: int) -> DataFrame:
     """One row per distinct set: class_id, n, copies, smallest id, one row to read the text
-    from, rare tokens and group. Groups above GROUP classes are split."""
+    from, rare tokens and group. A class joins the largest set of classes that share one of its
+    least hashes, so near copies seldom scatter. Groups above GROUP classes are split."""
     found = written(
         signed.where(F.col("n") > 0)
         .groupBy("one", "two", "n")
@@ -153,16 +156,21 @@ def classes_of(signed: DataFrame, percent: int) -> DataFrame:
         )
         .withColumn("class_id", F.monotonically_increasing_id())
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-        .withColumn("alike", F.xxhash64("least", "band"))
+        .withColumn("alike", F.transform("least", lambda x: F.xxhash64(x, F.col("band"))))
         .drop("least", "band")
     )
-    large = written(
-        found.groupBy("alike").count().where(F.col("count") > GROUP).select(
-            "alike", F.ceil(F.col("count") / GROUP).alias("parts")
-        )
+    keys = found.select("class_id", F.explode("alike").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    best = written(
+        keys.join(shared, "key").groupBy("class_id").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
+    )
+    large = best.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
+    parts = best.join(large, "key", "left").select(
+        "class_id", "key", F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)).alias("parts")
     )
+    grouped = found.join(parts, "class_id", "left").withColumn("key", F.coalesce("key", F.col("alike")[0]))
     part = F.pmod(F.xxhash64("class_id"), F.coalesce("parts", F.lit(1)))
-    return found.join(large, "alike", "left").withColumn("group", F.xxhash64("alike", part)).drop("alike", "parts")
+    return written(grouped.withColumn("group", F.xxhash64("key", part)).drop("alike", "key", "parts"))
 
 
 def _meeting(shared: DataFrame, percent: int) -> DataFrame:

@@ -180,8 +180,10 @@ def _meeting(shared: DataFrame, percent: int) -> DataFrame:
         F.min("n").alias("from"), F.max("n").alias("to"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")
     )
     fits = (F.col("n") * 100 >= F.col("from") * percent) & (F.col("to") * 100 >= F.col("n") * percent)
-    other = (F.col("lo") != F.col("class_id")) | (F.col("hi") != F.col("class_id"))
-    pairs = shared.drop("group").join(matrix, "token").where(fits & other)
+    # A foreign group holds others. As the own group is read, too, both sides of the join have
+    # the same columns and one exchange serves both.
+    other = (F.col("own") != F.col("group")) | (F.col("lo") != F.col("class_id")) | (F.col("hi") != F.col("class_id"))
+    pairs = shared.withColumnRenamed("group", "own").join(matrix, "token").where(fits & other)
     return pairs.select("class_id", "group", "n", "from", "to")
 
 

@@ -1,9 +1,11 @@
 """Substring de-duplication by sliding sentence spans.
 
-Texts are cut into sentences (long ones also at commas). From every sentence the shortest run
-of several sentences with enough words is hashed. Hashes are counted over the whole corpus;
-of every repeated run the first occurrence, by smallest id and place, stays, and the sentences
-that any other occurrence covers are removed.
+Texts are cut into sentences, at the marks of many scripts, and long sentences into pieces at
+words that only the words around them choose, so that equal passages are cut alike whatever
+stands before them. From every sentence, and up to every sentence, the shortest run of several
+sentences with enough words is hashed. Hashes are counted over the whole corpus; of every
+repeated run the first occurrence, by smallest id and place, stays, and the sentences that any
+other occurrence covers are removed. In scripts without spaces each character is a word.
 
 Defined results: a null text stays null and an empty one empty; texts with too few sentences
 or words have no run and stay whole; rows equal in id and text are one document and are
@@ -13,52 +15,102 @@ treated alike; a null id counts as the smallest; an empty table gives none.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import ship, written
 
-#: Sentences and words of a run, at least, and words after which a comma ends a sentence.
+#: Sentences and words of a run, at least.
 SENTENCES, WORDS = 2, 20
-LONG = 12
+#: A sentence of this many words is cut: each LONG words in a row hold a cut.
+LONG = 20
 #: Runs with more than this part of all occurrences skip the shuffle.
 HOT = 1024
-
-# A sentence's end with the white space behind it; group 1 is an end at any length.
-END = re.compile(r"([.!?]+(?=\s)|\n)\s*|[,;:]\s+")
+#: Frequent runs that are asked for, and hashes tracked to find them.
+LIMIT, TRACKED = 2048, 1 << 16
+
+# A sentence's end with closing marks and the white space behind it. Marks of scripts that
+# write no space after a sentence end it anywhere.
+END = re.compile(
+    "(?:[.!?\u2026\u061f\u06d4\u1362]+[\"')\\]\u2019\u201d\u00bb]*(?=\\s)"
+    "|[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u104a\u104b\u17d4\u17d5]+[\u300d\u300f\u201d\u2019\uff09]*|\n)\\s*"
+)
+# Characters of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs.
+DENSE = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+IS_DENSE = re.compile(f"[{DENSE}]")
+WORD, DENSE_WORD = re.compile(r"\S+"), re.compile(rf"[{DENSE}]|[^\s{DENSE}]+")
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Indexes of the words that end a piece: the least hash, the last of equal ones, of every
+    LONG words in a row. The last word is none of them."""
+    keys = [zlib.crc32(w.encode("utf-8", "replace")) for w in words[:-1]]
+    window = min(LONG, len(keys))
+    out, least = [], -1
+    for i, key in enumerate(keys):
+        if least <= i - window:
+            least = min(range(max(0, i - window + 1), i + 1), key=lambda j: (keys[j], -j))
+        elif key <= keys[least]:
+            least = i
+        if i >= window - 1 and (not out or out[-1] != least):
+            out.append(least)
+    return out
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normal form, words) of every sentence; together they are the text."""
     out, start = [], 0
-    for end in [*(m for m in END.finditer(text)), None]:
-        at = len(text) if end is None else end.end()
-        words = text[start:at].lower().split()
-        if end is not None and end[1] is None and len(words) < LONG:
+    dense = not text.isascii() and IS_DENSE.search(text) is not None
+    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
+        part = text[start:end]
+        # Lower case word by word: of a whole text it may move the places.
+        words = DENSE_WORD.findall(part) if dense else part.split()
+        if not words:
             continue
-        if words:
-            out.append((start, at, " ".join(words), len(words)))
-            start = at
+        words = [w.lower() for w in words]
+        if len(words) >= LONG:
+            places = [m.start() for m in (DENSE_WORD if dense else WORD).finditer(part)]
+            at = first = 0
+            for cut in cuts(words):
+                to = places[cut + 1]
+                out.append((start + at, start + to, " ".join(words[first : cut + 1]), cut + 1 - first))
+                at, first = to, cut + 1
+            out.append((start + at, end, " ".join(words[first:]), len(words) - first))
+        else:
+            out.append((start, end, " ".join(words), len(words)))
+        start = end
     return out
 
 
 def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, start, end) of the shortest sufficient run from every sentence."""
+    """(hash, start, end) of the shortest sufficient runs from and up to every sentence."""
     parts = sentences(text)
+    places = set()
     stop, words = 0, 0
-    for i, (start, _, _, own) in enumerate(parts):
+    for i, part in enumerate(parts):
         while stop < len(parts) and (stop - i < least_sentences or words < least_words):
             words += parts[stop][3]
             stop += 1
         if stop - i < least_sentences or words < least_words:
-            return
+            break
+        places.add((i, stop))
+        words -= part[3]
+    i, words = 0, 0
+    for stop, part in enumerate(parts, 1):
+        words += part[3]
+        while stop - i > least_sentences and words - parts[i][3] >= least_words:
+            words -= parts[i][3]
+            i += 1
+        if stop - i >= least_sentences and words >= least_words:
+            places.add((i, stop))
+    for i, stop in sorted(places):
         digest = xxhash.xxh3_64_intdigest(" ".join(p[2] for p in parts[i:stop]))
-        yield digest - (1 << 63), start, parts[stop - 1][1]
-        words -= own
+        yield digest - (1 << 63), parts[i][0], parts[stop - 1][1]
 
 
 def spans_of(documents: DataFrame) -> DataFrame:
@@ -89,21 +141,20 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end) of every non-first occurrence of a repeated run."""
     ship(documents.sparkSession)
     spans = written(spans_of(documents))
-    # Combined in each task before the shuffle: a passage of a third of all documents is a
-    # row per task here.
     place = F.struct("doc_id", "text_hash", "start")
-    first = spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    first = first.where(~F.col("first").eqNullSafe(F.col("last")))
-    # A hot run has more than 1 / HOT of all occurrences, so there are fewer than HOT hot runs.
-    # Their first places go to the occurrences; only those of other runs are shuffled.
-    hot = F.col("n") * HOT > spans.count()
-    hottest = first.where(hot).select(F.col("hash").alias("hot_hash"), F.col("first").alias("hot_first"))
-    marked = spans.join(F.broadcast(hottest), F.col("hash") == F.col("hot_hash"), "left")
-    usual = marked.where(F.col("hot_hash").isNull()).join(first.where(~hot).select("hash", "first"), "hash")
-    found = [
-        rows.where(~place.eqNullSafe(F.col(at))).select("doc_id", "text_hash", "start", "end")
-        for rows, at in ((marked.where(F.col("hot_hash").isNotNull()), "hot_first"), (usual, "first"))
-    ]
+    gone = ("doc_id", "text_hash", "start", "end")
+    # About the runs that have more than 1 / HOT of all occurrences; which ones exactly does
+    # not matter. Their occurrences stay where they are and take the first places, combined in
+    # each task: a passage of a third of all documents is a row per task here. All others are
+    # shuffled once.
+    total, top = spans.agg(F.count("*"), F.expr(f"approx_top_k(hash, {LIMIT}, {TRACKED})")).first()
+    hot = [(x["item"],) for x in top or () if x["count"] * HOT > total]
+    hottest = F.broadcast(documents.sparkSession.createDataFrame(hot, "hash long"))
+    often = spans.join(hottest, "hash")
+    first = often.groupBy("hash").agg(F.min(place).alias("first"))
+    often = often.join(F.broadcast(first), "hash")
+    usual = spans.join(hottest, "hash", "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("hash")))
+    found = [rows.where(~place.eqNullSafe(F.col("first"))).select(*gone) for rows in (often, usual)]
     return found[0].unionByName(found[1])
 
 

@@ -236,6 +236,40 @@ def test_repeats(nasty, monkeypatch, hot):
     assert by_id[100] and not by_id[101].strip()
 
 
+def planted(seed, words):
+    """Words without any mark between them."""
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(words))
+
+
+PASSAGES = {
+    "one sentence": planted(1, 60), "one short sentence": planted(2, 20), "odd marks": planted(3, 30) + " .%%% *** " + planted(4, 25),
+    "short last sentences": f"{planted(5, 25)}. {planted(6, 4)}. {planted(7, 3)}.",
+    "ideographs": "".join(chr(0x4E00 + c) for c in np.random.default_rng(8).integers(0, 5000, 80)),
+    "marked ideographs": "\u3002".join("".join(chr(0x4E00 + c) for c in np.random.default_rng(i).integers(0, 5000, 9)) for i in range(6)) + "\u3002",
+    "danda": "".join(planted(20 + i, 8) + " \u0964 " for i in range(5)).strip(),
+}
+
+
+@pytest.mark.parametrize("name", PASSAGES)
+def test_planted_passages_go_whole(spark, name):
+    passage = PASSAGES[name]
+    rows = [(i, f"{planted(50 + i, 30)}.\n{passage}\n{planted(60 + i, 30)}.") for i in range(3)]
+    got = {r.row.doc_id: r.text for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for i, text in rows[1:]:
+        assert got[i] == text.replace(passage + "\n", "")
+
+
+def test_passages_inside_long_sentences(spark):
+    passage = planted(9, 200)
+    rows = [(i, f"{planted(70 + i, 33 + 7 * i)} {passage} {planted(80 + i, 41)}") for i in range(2)]
+    got = {r.row.doc_id: r.text for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = set(got[1].split())
+    assert got[0] == rows[0][1] and len(left & set(passage.split())) <= 2 * 2 * repeats.LONG
+    assert set(rows[1][1].split()) - set(passage.split()) <= left
+
+
 def test_sentences_make_up_the_text(nasty):
     for _, text in texts(nasty):
         parts = repeats.sentences(text)

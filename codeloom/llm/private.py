@@ -2,10 +2,12 @@
 
 Four base kinds are found by pattern in every text and are the seeds. Every word with a digit
 or an @ is an instance; the word before it together with its own shape (letters a, digits 9,
-runs folded) is a lexical pattern. Spark scores the graph of patterns and instances in rounds:
-a pattern is as good as the share of its distinct instances that are believed, an instance as
-credible as its patterns together. Instances that only good patterns with enough seeds
-reach, and no base span covers, become spans of kind `context`; base spans always stay.
+runs folded) is a lexical pattern, and the two words before it, whatever its shape, are another.
+Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of
+its distinct instances that are believed, an instance as credible as its patterns together. What
+good patterns with enough seeds reach are seeds of the next rounds, until nothing new is
+reached. Instances of good patterns that no base span covers become spans of kind `context`;
+base spans always stay.
 
 Defined results: a null text is an empty text; rows are judged one by one, so repeated rows
 give repeated results; an empty table gives none. Other columns are ignored.
@@ -36,7 +38,9 @@ WORD = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
 CONTEXT, SHAPE = 64, 32
 CONTEXTUAL = "context"
 
-#: Rounds of scoring; a pattern's least share of believed instances and of distinct seeds; a
+#: Rounds of scoring between two choices of good patterns: each lets a pattern's own doubtful
+#: instances speak for it, and without end its confidence is seeds / (seeds + SMOOTHING), however
+#: many other words it has. A pattern's least share of believed instances and of distinct seeds; a
 #: constant against patterns with few instances.
 ROUNDS = 3
 LEAST_CONFIDENCE = 0.9
@@ -82,6 +86,15 @@ def context_word(gap: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}]+$", ""))
 
 
+def context_words(gap: Column) -> Column:
+    """The last two words of the text before, as `context_word` gives one; null if there are
+    not two since another instance."""
+    tail = F.substring(gap, -CONTEXT, CONTEXT)
+    words = F.regexp_extract(tail, rf"(?<![^{WS}])([^{WS}]++[{WS}]++[^{WS}]++)[{WS}]++$", 1)
+    words = F.regexp_replace(F.regexp_replace(words, r"^[^\p{L}]+|[^\p{L}]+$", ""), rf"[{WS}]+", " ")
+    return F.when(words.contains(" "), F.lower(words))
+
+
 def shape(value: Column) -> Column:
     bare = F.regexp_replace(F.substring(value, 1, SHAPE), r"^[.,;:!?]+|[.,;:!?]+$", "")
     return F.regexp_replace(F.regexp_replace(bare, r"\p{L}+", "a"), "[0-9]+", "9")
@@ -98,22 +111,19 @@ def found(documents: DataFrame, *kept: Column) -> DataFrame:
     rows = rows.select(*names, "_words", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), base.alias("base"))
     word = lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"),
-        F.concat_ws(" ", context_word(m["gap"]), shape(m["value"])).alias("pattern"),
+        F.array_compact(
+            F.array(F.concat_ws(" ", context_word(m["gap"]), shape(m["value"])), F.concat(context_words(m["gap"]), F.lit(" *")))
+        ).alias("patterns"),
         F.xxhash64(F.lower(m["value"])).alias("instance"),
         overlaps_any(m["start"], m["end"], F.col("base")).alias("seed"),
     )
     return rows.select(*names, *(f"n_{k}" for k in KINDS), "base", F.transform("_words", word).alias("words"))
 
 
-def good_patterns(
-    words: DataFrame, rounds: int = ROUNDS, least_confidence: float = LEAST_CONFIDENCE, least_seeds: int = LEAST_SEEDS
-) -> DataFrame:
-    """Patterns that the rounds leave confident, of rows (pattern, instance, seed)."""
-    # Distinct edges: a pattern or an instance in a third of all rows is combined in each task.
-    edges = written(words.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")))
+def scored(edges: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, seeds, confidence) after some rounds, of distinct edges."""
     belief = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("belief"))
-    patterns = None
-    for _ in range(rounds):
+    for last in range(1, rounds + 1):
         patterns = written(
             edges.join(belief, "instance")
             .groupBy("pattern")
@@ -121,6 +131,8 @@ def good_patterns(
             .where(F.col("seeds") >= 1)
             .select("pattern", "seeds", (F.col("believed") / (F.col("instances") + SMOOTHING)).alias("confidence"))
         )
+        if last == rounds:
+            return patterns
         # 1 - product of doubts, as a sum of logarithms; confidence stays below 1.
         doubt = F.exp(F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))))
         belief = written(
@@ -128,12 +140,38 @@ def good_patterns(
             .groupBy("instance")
             .agg(F.greatest(F.max("seed").cast("double"), 1 - doubt).alias("belief"))
         )
-    return patterns.where((F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_seeds))
+
+
+def good_patterns(
+    words: DataFrame, rounds: int = ROUNDS, least_confidence: float = LEAST_CONFIDENCE, least_seeds: int = LEAST_SEEDS
+) -> DataFrame:
+    """Patterns that the rounds leave confident, of rows (pattern, instance, seed). What they
+    reach are seeds of the next rounds, until they reach nothing new; seeds only grow."""
+    # Distinct edges: a pattern or an instance in a third of all rows is combined in each task.
+    edges = written(words.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")))
+    while True:
+        patterns = scored(edges, rounds)
+        good = patterns.where((F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_seeds))
+        # An instance is a seed of all its patterns, or of those where a base span covers it.
+        reached = edges.join(good, "pattern", "left_semi").groupBy("instance").agg(F.lit(1).alias("reached"))
+        grown = written(
+            edges.join(reached, "instance", "left").select(
+                "pattern", "instance", F.greatest("seed", F.coalesce("reached", F.lit(0))).alias("seed")
+            )
+        )
+        if _seeds(grown) == _seeds(edges):
+            return good
+        edges = grown
+
+
+def _seeds(edges: DataFrame) -> int:
+    return edges.agg(F.sum("seed")).first()[0] or 0
 
 
 def discovered(rows: DataFrame, **limits) -> DataFrame:
     """Per `row` the spans that good patterns add, of written `rows` of `found`."""
     words = rows.where(F.size("words") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*")
+    words = words.withColumn("pattern", F.explode("patterns")).drop("patterns")
     good = good_patterns(words, **limits).select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit(CONTEXTUAL).alias("kind"), "end").cast(SPAN)
     return (
@@ -141,7 +179,7 @@ def discovered(rows: DataFrame, **limits) -> DataFrame:
         .withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
         .join(good, ["pattern", "salt"], "left_semi")
         .groupBy("row")
-        .agg(F.collect_list(span).alias("added"))
+        .agg(F.collect_set(span).alias("added"))
     )
 
 

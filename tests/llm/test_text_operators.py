@@ -97,6 +97,18 @@ def test_private_contexts_find_unseen_identifiers(calls):
     assert set().union(*(set(v) for v in found.values())) <= {"context"}
 
 
+def test_private_discoveries_lead_to_more(spark):
+    texts = [f"the host 10.0.0.{i} is up" for i in range(30)]
+    # Not addresses, but found behind "host"; only they show what stands behind "node".
+    texts += [f"the host 999.1.1.{i} is up" for i in range(20)] + [f"old node 999.1.1.{i} is up" for i in range(20)]
+    texts += ["new node 999.7.7.7 is up", "the price 999.8.8.8 is low", "then the host KX-77 is up", "one host KX-78 is up"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in private.find_private(rows).collect()}
+    assert all(got[i] for i in range(30, 70)) and got[70] == [(9, 18)]
+    # Two words before an identifier find one of any shape, one word does not.
+    assert got[72] == [(14, 19)] and not got[71] and not got[73]
+
+
 def test_private_redaction(nasty, calls):
     got = {r.doc_id: r.text for r in private.redact(calls.withColumn("n_chars", F.lit(0).cast("long"))).collect()}
     assert got[3] == "please phone 3 3, mail [EMAIL] now"

@@ -4,6 +4,8 @@ tests/llm compares them with brute force."""
 
 from __future__ import annotations
 
+from codeloom.llm.centroids import centroids_query
+from codeloom.llm.infilling import infilling_query
 from codeloom.llm.jaccard import jaccard_query
 from codeloom.llm.language import language_query
 from codeloom.llm.mixing import mixing_query
@@ -11,6 +13,7 @@ from codeloom.llm.packing import packing_query
 from codeloom.llm.private import private_query
 from codeloom.llm.repeats import repeats_query
 from codeloom.llm.secrets import secrets_query
+from codeloom.llm.tokencount import tokens_query
 from codeloom.llm.topk import topk_query
 from codeloom.llm.urls import urls_query
 from codeloom.llm.vectors import vectors_query
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_jaccard": jaccard_query,
     "op9_topk": topk_query,
     "op10_urls": urls_query,
+    "op11_tokens": tokens_query,
+    "op12_infilling": infilling_query,
+    "op13_centroids": centroids_query,
 }
 
 ORACLES: dict[str, str] = {}

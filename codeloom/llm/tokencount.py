@@ -26,6 +26,7 @@ their names, are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import pickle
@@ -45,9 +46,9 @@ VOCABULARY = "byte_bpe_50k.json"
 CHUNK, CONTEXT, BLOCK = 1 << 16, 256, 64
 #: Chunks of one file, so that a long text's chunks are read by several tasks.
 FILE_CHUNKS = 256
-#: Compiled transitions, neighbour checks and stretches of at most `STRETCH` characters that a
-#: Python worker keeps before it starts anew.
-COMPILED, STRETCH = 600_000, 32
+#: Compiled transitions with neighbour checks, and counts of stretches of at most `STRETCH`
+#: characters, that a Python worker keeps before it starts anew.
+COMPILED, STRETCHES, STRETCH = 800_000, 800_000, 32
 LIMIT = 512
 
 SPACE, LETTER, NUMBER, OTHER = "space", "letter", "number", "other"
@@ -124,7 +125,8 @@ class Machine:
         self.begins = {t[:i] for t in self.made for i in range(len(t))}
         self.kinds: dict[str, str] = {}
         blank = re.escape("".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))) if self.kind(c) == SPACE))
-        self.stretch = re.compile(f"[{blank}]*[^{blank}]+|[{blank}]+").findall
+        # A piece begins at white space after anything else, and after ASCII letters at any ASCII sign.
+        self.stretch = re.compile(f"[{blank}]*[A-Za-z]++(?![^\\0-\x7f])|[{blank}]*[^{blank}]+|[{blank}]+").findall
         self.kinds.clear()
         self.clear()
 
@@ -145,7 +147,9 @@ class Machine:
 
     def tidy(self) -> None:
         """Between texts: start anew where too much has been compiled."""
-        if self.size + len(self.may) + len(self.counts) > COMPILED:
+        if len(self.counts) > STRETCHES:
+            self.counts.clear()
+        if self.size + len(self.may) > COMPILED:
             self.clear()
 
     def state(self, key: Key) -> State:
@@ -278,8 +282,7 @@ class Machine:
         return state.key, count
 
     def fresh(self, text: str) -> tuple[Key, int]:
-        """State and count after a text without added tokens that begins anew. White space
-        after anything else begins a piece, so it is read stretch by stretch."""
+        """State and count after a text without added tokens that begins anew."""
         *stretches, last = self.stretch(text) or [""]
         key, count = self.run(START, last)
         return key, count + sum(map(self.counts.__getitem__, stretches))
@@ -386,9 +389,11 @@ def _short(documents: DataFrame, path: str) -> DataFrame:
         compiled = machine(path)
         for batch in batches:
             counts = []
+            gc.disable()  # states are many and point at each other, but none is garbage here
             for text in _decoded(batch["text"]):
                 counts.append(compiled.count(text))
                 compiled.tidy()
+            gc.enable()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(counts, pa.int64())], names=names)
 
     names = ["doc_id", "n_bytes", "n_tokens"]

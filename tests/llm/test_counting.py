@@ -75,10 +75,11 @@ def documents(spark, nasty):
 
 def test_starting_anew(compiled, library, monkeypatch):
     monkeypatch.setattr(tokencount, "COMPILED", 50)
+    monkeypatch.setattr(tokencount, "STRETCHES", 50)
     for text in texts(6, 100):
         assert compiled.count(text) == library(text)
         compiled.tidy()
-        assert compiled.size + len(compiled.may) + len(compiled.counts) <= 50
+        assert compiled.size + len(compiled.may) <= 50 >= len(compiled.counts)
 
 
 @pytest.mark.parametrize("chunk, block, context", [(1 << 16, 64, 256), (50, 3, 256), (40, 4, 0)])

@@ -19,7 +19,7 @@ FINDING = ["rule_id", "severity", "message", "file", "line"]
 
 # Tables that stand for stored input are written once per session. Nodes are laid out by
 # kind, so that a detector reads only the kinds it asks for.
-STORED = {"v_nodes": "kind"}
+STORED = {"v_nodes": "kind", "v_tree_nodes": "kind", "v_flow_nodes": "kind"}
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 

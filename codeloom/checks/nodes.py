@@ -194,9 +194,9 @@ def inference(source, order):
     FROM b WHERE b.i = 1"""
 
 
-@query("convention_inference", inference("SELECT category, name, doc_id, line FROM v_names", "doc_id, line"))
+@query("convention_inference", inference("SELECT category, name, doc_id, line, place FROM v_names", "doc_id, line, place"))
 def _(v):
-    return nodes.convention_inference(v("v_names"), ["doc_id", "line"])
+    return nodes.convention_inference(v("v_names"), ["doc_id", "line", "place"])
 
 
 @query("harvested_convention", inference(_HARVEST, "path, name"))

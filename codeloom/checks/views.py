@@ -97,13 +97,72 @@ FROM @documents"""
 VIEWS["v_words"] = "{{words}}"
 
 VIEWS["v_names"] = """
-SELECT category, doc_id, line, path,
+SELECT category, doc_id, line, place, path,
   CASE doc_id % 5 WHEN 0 THEN lower(w1) WHEN 1 THEN upper(substr(w1, 1, 1)) || lower(substr(w1, 2))
     WHEN 2 THEN lower(w1) || '_' || lower(w2) WHEN 3 THEN upper(w1) || '_' || upper(w2)
     ELSE lower(w1) || '-' || lower(w2) END AS name
 FROM (
-  SELECT lang AS category, doc_id, line, path, {{word1}} AS w1, {{word2}} AS w2 FROM v_words
-) w WHERE w1 IS NOT NULL AND w2 IS NOT NULL"""
+  SELECT lang AS category, doc_id, line, place, path, {{word:place}} AS w1, {{word:place + 1}} AS w2
+  FROM ({{places:lang, doc_id, line, path}}) p
+) w WHERE w2 IS NOT NULL"""
+
+# A tree per document: lines of words in groups of six lines. Words that hide a child, plain
+# literals, identifiers and keywords by their length.
+VIEWS["v_spoken"] = """
+SELECT path, doc_id, line, {{div6}} AS part, place, {{word:place}} AS word,
+  row_number() OVER (PARTITION BY path ORDER BY line, place) AS seq
+FROM ({{places:path, doc_id, line}}) p"""
+
+VIEWS["v_tree_nodes"] = """
+SELECT path, 'typescript' AS language, node_id, parent_id, CAST(NULL AS {{string}}) AS field, kind, text, pre, post, TRUE AS named, start_line, end_line
+FROM (
+  SELECT path, CAST(0 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 'function_declaration' AS kind, CAST(NULL AS {{string}}) AS text,
+    CAST(0 AS BIGINT) AS pre, 4 * max(seq) + 3 AS post, min(line) AS start_line, max(line) AS end_line FROM v_spoken GROUP BY path
+  UNION ALL SELECT path, 4 * min(seq), 0, CASE WHEN part % 2 = 0 THEN 'if_statement' ELSE 'try_statement' END, NULL, 4 * min(seq), 4 * max(seq) + 3, min(line), max(line)
+    FROM v_spoken GROUP BY path, part
+  UNION ALL SELECT path, 4 * min(seq) + 1, min(head), 'expression_statement', NULL, 4 * min(seq) + 1, 4 * max(seq) + 3, line, line
+    FROM (SELECT *, 4 * min(seq) OVER (PARTITION BY path, part) AS head FROM v_spoken) s GROUP BY path, line
+  UNION ALL SELECT path, 4 * seq + 2, 4 * head + 1, {{wordkind}}, word, 4 * seq + 2, 4 * seq + 3, line, line
+    FROM (SELECT *, min(seq) OVER (PARTITION BY path, line) AS head FROM v_spoken) s
+  UNION ALL SELECT path, 4 * seq + 3, 4 * seq + 2, 'string_fragment', word, 4 * seq + 3, 4 * seq + 3, line, line FROM v_spoken WHERE length(word) = 4
+) n"""
+
+# Assignments and functions with one call each, as nodes.
+VIEWS["v_flow"] = """
+SELECT a.path, a.line AS e, 40 * a.line AS b, a.var, a.value, c.callee, c.arg0, c.arg1, c.args,
+  CASE WHEN a.line % 3 = 0 THEN c.arg0 ELSE 'p0' END AS p0, CASE WHEN a.line % 5 = 0 THEN c.arg1 ELSE 'p1' END AS p1
+FROM v_assigns a JOIN v_calls c ON c.path = a.path AND c.line = a.line"""
+
+_FLOW = [
+    # condition, offset, parent's offset, field, kind, text, last offset
+    ("TRUE", 0, None, None, "CASE WHEN e % 2 = 0 THEN 'variable_declarator' ELSE 'assignment_expression' END", "var || ' = ' || value", 3),
+    ("TRUE", 1, 0, "CASE WHEN e % 2 = 0 THEN 'name' ELSE 'left' END", "'identifier'", "var", 1),
+    ("TRUE", 2, 0, "CASE WHEN e % 2 = 0 THEN 'value' ELSE 'right' END", "'expression'", "value", 3),
+    ("e % 2 = 0", 5, None, None, "'export_statement'", "'export'", 30),
+    ("TRUE", 6, 5, None, "CASE WHEN e % 7 = 0 THEN 'method_definition' ELSE 'function_declaration' END", "'function'", 30),
+    ("TRUE", 7, 6, "'name'", "'identifier'", "'f' || e", 7),
+    ("e % 11 <> 0", 8, 6, "'parameters'", "'formal_parameters'", "'(...)'", 14),
+    ("e % 11 <> 0", 9, 8, None, "'('", "'('", 9),
+    ("e % 11 <> 0", 10, 8, None, "'required_parameter'", "'p: any'", 11),
+    ("e % 11 <> 0", 11, 10, "'pattern'", "CASE WHEN e % 13 = 0 THEN 'object_pattern' ELSE 'identifier' END", "p0", 11),
+    ("e % 11 <> 0", 12, 8, None, "','", "','", 12),
+    ("e % 11 <> 0", 13, 8, None, "'identifier'", "p1", 13),
+    ("e % 11 <> 0", 14, 8, None, "')'", "')'", 14),
+    ("TRUE", 16, 6, None, "'call_expression'", "callee || args", 25),
+    ("TRUE", 17, 16, "'function'", "'identifier'", "callee", 17),
+    ("TRUE", 18, 16, "'arguments'", "'arguments'", "args", 25),
+    ("TRUE", 19, 18, None, "'('", "'('", 19),
+    ("TRUE", 20, 18, None, "'expression'", "arg0", 20),
+    ("TRUE", 21, 18, None, "','", "','", 21),
+    ("TRUE", 22, 18, None, "'expression'", "arg1", 22),
+    ("TRUE", 23, 18, None, "')'", "')'", 23),
+]
+VIEWS["v_flow_nodes"] = " UNION ALL ".join(
+    f"SELECT path, 'javascript' AS language, b + {at} AS node_id, CAST({f'b + {parent}' if parent is not None else 'NULL'} AS BIGINT) AS parent_id, "
+    f"CAST({field or 'NULL'} AS {{{{string}}}}) AS field, {kind} AS kind, {text} AS text, b + {at} AS pre, b + {last} AS post, TRUE AS named, "
+    f"e AS start_line, e AS end_line FROM v_flow WHERE {cond}"
+    for cond, at, parent, field, kind, text, last in _FLOW
+)
 
 VIEWS["v_blocks"] = "{{blocks}}"
 
@@ -511,9 +570,15 @@ def _render(sql: str, spark: bool) -> str:
             keep = "filter" if spark else "list_filter"
             lam = "w -> w <> ''" if spark else "lambda w: w <> ''"
             return f"SELECT path, doc_id, line, lang, {keep}({array}, {lam}) AS words FROM v_lines"
-        if name in ("word1", "word2"):
-            i = name[-1]
-            return f"try_element_at(words, {i})" if spark else f"words[{i}]"
+        if name == "word":
+            return f"try_element_at(words, {arg})" if spark else f"words[{arg}]"
+        if name == "places":
+            each = "explode(sequence(1, size(words)))" if spark else "unnest(range(1, len(words) + 1)::INT[])"
+            return f"SELECT {arg}, words, {each} AS place FROM v_words WHERE {'size' if spark else 'len'}(words) > 0"
+        if name == "div6":
+            return "(line - 1) div 6" if spark else "(line - 1) // 6"
+        if name == "wordkind":
+            return "CASE length(word) % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'identifier' WHEN 2 THEN 'number' ELSE 'keyword' END"
         if name == "blocks":
             if spark:
                 words = "filter(split(lower(content), '[^a-z]+'), w -> w <> '')"
@@ -537,6 +602,10 @@ def _render(sql: str, spark: bool) -> str:
     return sql
 
 
+# Views that tokens name.
+_HIDDEN = {"v_words": " v_lines", "v_blocks": " v_files", "v_names": " v_words", "v_spoken": " v_words"}
+
+
 def _needs(names: list[str]) -> list[str]:
     """The views in dependency order."""
     done: list[str] = []
@@ -545,7 +614,7 @@ def _needs(names: list[str]) -> list[str]:
         if name in done:
             return
         for other in VIEWS:
-            if other != name and re.search(rf"\b{other}\b", VIEWS[name] + (" v_lines" if name == "v_words" else "") + (" v_files" if name == "v_blocks" else "")):
+            if other != name and re.search(rf"\b{other}\b", VIEWS[name] + _HIDDEN.get(name, "")):
                 add(other)
         done.append(name)
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import catalog
-from codeloom.operators import duplicates, graph, history, line_rules, nodes, results, supply, taint
+from codeloom.operators import derive, duplicates, graph, history, line_rules, nodes, results, supply, taint
 from codeloom.operators.registry import Detector, DetectorRegistry, Tables
 from codeloom.session import cut_lineage
-from codeloom.sources import corpus
+from codeloom.sources import corpus, reports
 
 _D = catalog.DEFAULTS
 
@@ -30,6 +30,7 @@ class Settings:
     naming: dict[str, str] = field(default_factory=lambda: dict(nodes.DEFAULT_NAMING))
     naming_per_language: dict[str, dict[str, str]] = field(default_factory=dict)
     similarity: float = _D["similarity"]
+    taint_cross_file: bool = False
     layers: list[tuple[str, list[str]]] = field(default_factory=list)
     layer_rules: list[tuple[str, list[str], list[str]]] = field(default_factory=list)
     impact_depth: int = _D["impact_depth"]
@@ -98,7 +99,20 @@ def families(settings: Settings) -> dict[str, tuple[list[str], Detector]]:
         return _union(parts)
 
     def clones(t: Tables) -> DataFrame:
-        return duplicates.clone_findings(duplicates.structural_clones(t["blocks"]))
+        blocks = t["blocks"]
+        if t.get("changed") is not None:
+            blocks = duplicates.changed_block_semi(blocks, t["changed"])
+        found = duplicates.clone_findings(duplicates.structural_clones(blocks))
+        if "tokens" not in blocks.columns:
+            return found
+        return found.unionByName(duplicates.similar_findings(duplicates.similar_links(blocks, s.similarity)))
+
+    def tainted(t: Tables) -> DataFrame:
+        found = taint.taint_flow(t["assigns"], t["calls"])
+        if s.taint_cross_file and all(name in t for name in ("functions", "exports", "imports")):
+            summaries = taint.function_summaries(t["functions"], t["exports"], t["calls"])
+            found = found.unionByName(taint.taint_cross_file(t["assigns"], t["calls"], edges(t), summaries))
+        return on_changed(found, t)
 
     def complexity(t: Tables) -> DataFrame:
         scored = [
@@ -134,7 +148,7 @@ def families(settings: Settings) -> dict[str, tuple[list[str], Detector]]:
         "duplicates": (["blocks"], clones),
         "architecture": (["imports"], lambda t: on_changed(graph.layer_violation(t["imports"], s.layers, s.layer_rules), t)),
         "impact": (["imports", "files"], lambda t: graph.impact_findings(edges(t), t["files"], s.impact_depth)),
-        "taint": (["assigns", "calls"], lambda t: on_changed(taint.taint_flow(t["assigns"], t["calls"]), t)),
+        "taint": (["assigns", "calls"], tainted),
         "dependencies": (["deps", "advisories"], lambda t: supply.vulnerability_join(t["deps"], t["advisories"])),
         "complexity": (["nodes"], complexity),
         "iac": (["iac_lines"], iac),
@@ -150,6 +164,33 @@ def families(settings: Settings) -> dict[str, tuple[list[str], Detector]]:
     }
 
 
+def derived(tables: Tables, settings: Settings) -> Tables:
+    """The given tables and those that follow from nodes and files, for the enabled families."""
+    wanted = lambda *families: any(settings.enabled.get(f, True) for f in families)
+    made: Tables = {}
+    if "nodes" in tables:
+        builders = {
+            "blocks": (derive.spelled_blocks, ["duplicates"]),
+            "assigns": (derive.assigns_of_nodes, ["taint"]),
+            "calls": (derive.calls_of_nodes, ["taint"]),
+            "functions": (derive.functions_of_nodes, ["taint"]),
+            "imports": (graph.import_edges, ["architecture", "impact", "dead-code", "taint"]),
+            "exports": (graph.export_names, ["dead-code", "taint"]),
+        }
+        # Several detectors read each of these, so they are stored.
+        made = {
+            name: cut_lineage(build(tables["nodes"]))
+            for name, (build, families) in builders.items()
+            if name not in tables and wanted(*families)
+        }
+    # Manifests and infrastructure files are read whatever languages are scanned.
+    if wanted("dependencies", "licenses"):
+        made["deps"] = reports.manifest_deps(tables["files"].select("path", "content"))
+    if wanted("iac"):
+        made["iac_lines"] = corpus.line_explode(line_rules.iac_file_select(tables["files"]))
+    return made | tables
+
+
 @dataclass
 class Run:
     findings: DataFrame
@@ -160,14 +201,15 @@ class Run:
 def scan(tables: Tables, run_id: str, settings: Settings | None = None, plugins: list[tuple[str, Detector]] = ()) -> Run:
     """Run every enabled family whose tables are given.
 
-    `tables` needs files (path, content, language, status); optional are nodes, blocks,
-    imports, exports, assigns, calls, deps, advisories, licenses, coverage, iac_lines,
-    changes (for a diff run), baseline, dismissals and suggestions.
+    `tables` needs files (path, content, language, status); optional are nodes, advisories,
+    licenses, coverage, changes (for a diff run), baseline, dismissals and suggestions.
+    Blocks, imports, exports, assigns, calls, functions, deps and iac_lines are derived from
+    the nodes and files where they are not given.
     """
     settings = settings or Settings()
     files = corpus.path_filter(tables["files"], settings.include, settings.exclude, settings.languages)
     lines = corpus.line_explode(files)
-    given = {**tables, "files": files, "lines": lines}
+    given = {**derived(tables, settings), "files": files, "lines": lines}
     if "changes" in tables:
         given["lines"] = line_rules.changed_line_semi(lines, tables["changes"])
         given["changed"] = tables["changes"].filter("change_type = 'added'")

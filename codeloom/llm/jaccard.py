@@ -303,7 +303,8 @@ def compare(rows: pa.Table, percent: int) -> pa.Table:
 
 def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document row: doc_id, text_hash, n_shingles, n_links (other rows linked
-    directly) and component_id (smallest id reached)."""
+    directly), component_id (smallest id reached) and root, which tells components apart even
+    if their ids are equal or null (null: a document without shingles, alone)."""
     ship(documents.sparkSession)
     frequent, counts = frequent_tokens(documents, size)
     signed = written(signatures(documents, size, percent, frequent, counts))
@@ -345,26 +346,30 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     named = members_of.groupBy("root").agg(F.min("smallest").alias("component_id"))
     known = written(
         members_of.join(named, "root").join(links, "class_id", "left").select(
-            "one", "two", F.col("n").alias("size"), "component_id",
+            "one", "two", F.col("n").alias("size"), "component_id", "root",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
     rows = signed.select("doc_id", "text_hash", "n", "one", "two")
     linked = rows.where(F.col("n") > 0).join(known, ["one", "two"]).select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "n_links", "component_id"
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "n_links", "component_id", "root"
     )
     empty = rows.where(F.col("n") == 0).select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"),
-        F.col("doc_id").alias("component_id"),
+        F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"),
     )
     return linked.unionByName(empty)
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """`documents` with one row of each component: that of the smallest id. Rows that repeat
-    id and text are one; rows without id are dropped for one with an id only."""
+    """`documents` with one row of each component: that of the smallest id, null last, and of
+    equal ids that of the smallest text hash. Documents without shingles stay, rows that
+    repeat id and text as one."""
     judged = similar_documents(documents, size, percent)
-    kept = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = judged.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"))
+    alone = judged.where("root IS NULL").select("doc_id", "text_hash").distinct()
+    kept = first.select("first.doc_id", "first.text_hash").unionByName(alone)
     key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")]
     rows = documents.select(F.struct("*").alias("row"), *key)
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))

@@ -53,8 +53,11 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        # Added tokens are taken out of a text first, as the library does by default.
+        added = {t.content.encode(): i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.added = {literal: self.packed([i]) for literal, i in added.items()}
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")").split
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.parts: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -85,10 +88,15 @@ class Encoder:
             self.parts[part] = found
         return found
 
-    def text(self, text: bytes) -> bytes:
+    def plain(self, text: bytes) -> bytes:
         known, part = self.parts.get, self.part
         return b"".join([known(p) or part(p) for p in text.split()])
 
+    def text(self, text: bytes) -> bytes:
+        if not any(literal in text for literal in self.added):
+            return self.plain(text)
+        return b"".join([self.added.get(p) or self.plain(p) for p in self.split(text)])
+
 
 @cache
 def encoder(path: str) -> Encoder:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from codeloom.llm import common, jaccard, language, mixing, packing, private, repeats, secrets
 
@@ -121,7 +122,7 @@ def test_private_redaction(nasty, calls):
 
 def test_packing_round_trip(nasty):
     rows = packing.pack(nasty, with_ids=True).collect()
-    whole = packing.encoder(packing.vocabulary_path()).whole
+    whole = Tokenizer.from_file(packing.vocabulary_path())
     want = Counter((i, *whole.encode(t, add_special_tokens=False).ids, 1) for i, t in texts(nasty))
     sequences, documents = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -145,6 +146,12 @@ def test_packing_round_trip(nasty):
     assert all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 2
 
 
+def test_added_tokens_stay_whole():
+    whole, encode = Tokenizer.from_file(packing.vocabulary_path()), packing.encoder(packing.vocabulary_path()).text
+    for text in ["<|endoftext|>", "a<|endoftext|>B <|startoftext|>", "<|endoftext", "x <|startoftext|><|endoftext|> \n y<|", "<|<|endoftext|>|>É"]:
+        assert encode(text.encode()) == packing.Encoder.packed(whole.encode(text, add_special_tokens=False).ids), text
+
+
 def test_best_fit_takes_the_tightest_window():
     number, offset = packing.best_fit(np.array([7, 6, 3, 2, 2]), 10)
     assert list(number) == [0, 1, 0, 1, 1] and list(offset) == [0, 0, 7, 6, 8]
@@ -214,6 +221,16 @@ def test_jaccard_splits_groups(nasty, monkeypatch):
     assert pairs(got, "doc_id", "n_shingles", "n_links", "component_id") == brute_jaccard(texts(nasty), 3, 80)
 
 
+def test_one_row_of_groups_with_equal_or_no_ids(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base + " a"), (1, base + " b"), (None, base[:200] + " " * 3 + "z"), (2, "other " * 3), (None, ""), (None, ""), (3, None)]
+    other = " ".join(f"text{i}" for i in range(60))
+    rows += [(None, other + " a"), (None, other + " b"), (None, other + " b")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r.doc_id, (r.text or "")[:5]) for r in kept.collect())
+    assert got[1, "word0"] == 1 and got[None, "text0"] == 1 and got[2, "other"] == 1 and got[None, ""] == 1 and got[3, ""] == 1
+
+
 def test_one_document_of_each_group_stays(nasty):
     kept = jaccard.keep_one(nasty)
     ids = Counter(r.doc_id for r in kept.select("doc_id").collect())

@@ -193,9 +193,14 @@ def derived(tables: Tables, settings: Settings) -> Tables:
 
 @dataclass
 class Run:
+    """`summary` is one row, also of a run without findings: counts by severity, files looked
+    at, and the findings that directives, dismissals and the baseline took out. `failures`
+    are the (name, problem) of plug-ins that had to be left out."""
+
     findings: DataFrame
     summary: DataFrame
     breakdowns: DataFrame
+    failures: list[tuple[str, str]]
 
 
 def scan(tables: Tables, run_id: str, settings: Settings | None = None, plugins: list[tuple[str, Detector]] = ()) -> Run:
@@ -220,17 +225,32 @@ def scan(tables: Tables, run_id: str, settings: Settings | None = None, plugins:
             registry.register(family, detector)
     registry.load(plugins)
 
-    found = registry.run(given, run_id, settings.enabled)
-    found = results.suppress(found, results.suppression_directives(lines, settings.keyword))
+    # Findings are stored after every filter: the counts come from the stored tables, and
+    # summary, breakdowns and exports read the last one several times.
+    found = cut_lineage(registry.run(given, run_id, settings.enabled))
+    filters = [("suppressed", lambda df: results.suppress(df, results.suppression_directives(lines, settings.keyword)))]
     if "dismissals" in tables:
-        found = results.dismissal_filter(found, tables["dismissals"])
-    if "suggestions" in tables:
-        found = results.suggestion_enrich(found, tables["suggestions"])
+        filters.append(("dismissed", lambda df: results.dismissal_filter(df, tables["dismissals"])))
     if "baseline" in tables:
-        found = results.baseline_filter(found, tables["baseline"])
-    # Summary, breakdowns and exports read the findings several times.
-    found = cut_lineage(found)
-    return Run(found, history.run_summary(found, ["run_id"]), history.finding_breakdowns(found))
+        filters.append(("baselined", lambda df: results.baseline_filter(df, tables["baseline"])))
+    dropped = {"suppressed": 0, "dismissed": 0, "baselined": 0}
+    left = found.count()
+    for name, keep in filters:
+        found = cut_lineage(keep(found))
+        before, left = left, found.count()
+        dropped[name] = before - left
+    if "suggestions" in tables:
+        found = cut_lineage(results.suggestion_enrich(found, tables["suggestions"]))
+    return Run(found, _summary(found, files, run_id, dropped), history.finding_breakdowns(found), registry.failures)
+
+
+def _summary(found: DataFrame, files: DataFrame, run_id: str, dropped: dict[str, int]) -> DataFrame:
+    counts = history.run_summary(found, ["run_id"]).drop("run_id", "total_files")
+    zero_if_none = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns]
+    looked_at = files.agg(F.count("*").alias("total_files"))
+    return counts.agg(*zero_if_none).crossJoin(looked_at).select(  # one row each
+        F.lit(run_id).alias("run_id"), *counts.columns, "total_files", *[F.lit(n).cast("long").alias(c) for c, n in dropped.items()]
+    )
 
 
 def check_diff(diffs: DataFrame, files: DataFrame, run_id: str, settings: Settings | None = None, **tables: DataFrame) -> Run:

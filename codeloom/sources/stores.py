@@ -42,8 +42,10 @@ def keep_newest_runs(runs: DataFrame, keep: int = DEFAULTS["history_runs"]) -> D
     return runs.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= keep).drop("__n")
 
 
-def append_run(runs: DataFrame, run: DataFrame, keep: int = DEFAULTS["history_runs"]) -> DataFrame:
-    return keep_newest_runs(runs.unionByName(run), keep)
+def append_run(runs: DataFrame, run: DataFrame, keep: int | None = DEFAULTS["history_runs"]) -> DataFrame:
+    """The run list with a run more; the newest `keep` of each repository, all with None."""
+    whole = runs.unionByName(run)
+    return whole if keep is None else keep_newest_runs(whole, keep)
 
 
 def write_run_findings(findings: DataFrame, path: str) -> None:

@@ -13,6 +13,9 @@ from codeloom.operators.nodes import children, of_kind, with_children
 from codeloom.schema import findings
 from codeloom.session import cut_lineage, scratch_path
 
+#: Starts whose reach is followed together, a bit of a long each.
+MASK_BITS = 64
+
 
 def _local_names_under(nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """(path, import node_id, name) of the specifiers below script import statements."""
@@ -209,29 +212,64 @@ def directory_groups(files: DataFrame, scope: str | None = None) -> DataFrame:
     )
 
 
-def consumers(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, consumer, level) of the files that import a start directly or through
-    others, up to `depth` levels; the start itself is left out.
+def reach(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Files that import a start directly or through others, for many starts at once.
 
-    One join per level over distinct pairs. Links and levels are written to the shared
-    folder: each level reads the ones before it, and nothing is computed twice.
+    Starts (path) travel in blocks of 64, one bit each: (block, node, level, mask) has one row
+    per block, file and level with the starts that reach the file there first; level 0 are the
+    starts themselves. The second table holds the starts (bit, flag, start) of each block.
+    Neighbouring paths share a block, as they tend to share consumers.
+
+    One join per level, whose masks are combined in each task before the exchange. Links and
+    levels are written to the shared folder: each level reads the ones before it.
     """
     spark = edges.sparkSession
     links = cut_lineage(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct())
-    folder, levels = scratch_path(spark, "consumers"), []
-    step = starts.select(F.col("path").alias("start")).distinct().select("start", F.col("start").alias("node"))
+    parts = cut_lineage(
+        starts.select(F.col("path").alias("start")).filter("start IS NOT NULL").distinct()
+        .repartitionByRange("start").withColumn("part", F.spark_partition_id().cast("long"))
+    )
+    place = F.row_number().over(Window.partitionBy("part").orderBy("start")) - 1
+    numbered = cut_lineage(
+        parts.withColumn("place", place)
+        .withColumn("block", F.col("part") * (1 << 32) + F.floor(F.col("place") / MASK_BITS))
+        .withColumn("bit", F.col("place") % MASK_BITS)
+        .select("block", "bit", F.expr("shiftleft(1L, bit)").alias("flag"), "start")
+    )
+    folder, levels = scratch_path(spark, "reach"), []
+    step = numbered.select("block", F.col("start").alias("node"), F.lit(0).alias("level"), F.col("flag").alias("mask"))
     schema = step.schema
     for level in range(depth + 1):
         levels.append(f"{folder}/level{level}")
         step.write.parquet(levels[-1])
         frontier = spark.read.schema(schema).parquet(levels[-1])
-        reached = spark.read.schema(schema).parquet(*levels)
-        found = frontier.join(links, "node").select("start", F.col("next").alias("node")).distinct()
-        step = found.join(reached, ["start", "node"], "left_anti")
-    read = lambda level: spark.read.schema(schema).parquet(levels[level]).select(
-        "start", F.col("node").alias("consumer"), F.lit(level).alias("level")
+        met = spark.read.schema(schema).parquet(*levels).groupBy("block", "node").agg(F.bit_or("mask").alias("met"))
+        found = (
+            frontier.join(links, "node").groupBy("block", F.col("next").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        )
+        step = (
+            found.join(met, ["block", "node"], "left")
+            .withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("met", F.lit(0)))))
+            .filter("mask <> 0")
+            .select("block", "node", F.lit(level + 1).alias("level"), "mask")
+        )
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("bit", "flag", "start")).alias("starts"))
+    return spark.read.schema(schema).parquet(*levels), blocks
+
+
+def _unmasked(masks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(start, consumer, level) of masks: every set bit as a row."""
+    held = F.filter("starts", lambda s: F.col("mask").bitwiseAND(s["flag"]) != 0)
+    return masks.join(blocks, "block").select(
+        F.explode(F.transform(held, lambda s: s["start"])).alias("start"), F.col("node").alias("consumer"), "level"
     )
-    return reduce(DataFrame.unionByName, [read(level) for level in range(1, depth + 1)])
+
+
+def consumers(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, consumer, level) of the files that import a start directly or through
+    others, up to `depth` levels; the start itself is left out."""
+    masks, blocks = reach(edges, starts, depth)
+    return _unmasked(masks.filter("level > 0"), blocks)
 
 
 def impacted_files(edges: DataFrame, changed: DataFrame, depth: int = catalog.DEFAULTS["impact_depth"]) -> DataFrame:
@@ -239,22 +277,50 @@ def impacted_files(edges: DataFrame, changed: DataFrame, depth: int = catalog.DE
     return consumers(edges, changed, depth).select("start", "consumer")
 
 
-def impact_findings(edges: DataFrame, files: DataFrame, depth: int = catalog.DEFAULTS["impact_depth"]) -> DataFrame:
-    """One info finding per file with consumers: their number and the first five, nearest
-    level first, then by name."""
-    reached = consumers(edges, files, depth)
-    totals = reached.groupBy("start").agg(F.count("*").alias("n"))
+def consumer_counts(masks: DataFrame) -> DataFrame:
+    """(block, bit, level, n, before): how many files each start reaches at a level and at
+    the levels before, added up bit by bit, without a row per start and file."""
+    reached = masks.filter("level > 0")
+    bits = F.array(*[F.sum(F.expr(f"shiftrightunsigned(mask, {i}) & 1L")) for i in range(MASK_BITS)])
+    per_bit = (
+        reached.groupBy("block", "level").agg(bits.alias("sums"))
+        .select("block", "level", F.posexplode("sums").alias("bit", "n"))
+    )
+    lower = Window.partitionBy("block", "bit").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    return per_bit.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+
+
+def impact_findings(
+    edges: DataFrame, files: DataFrame, depth: int = catalog.DEFAULTS["impact_depth"], named: int = 5
+) -> DataFrame:
+    """One info finding per file with consumers: their number and the first `named`, nearest
+    level first, then by name. Only levels that can still give a name are unpacked, and of
+    these each task keeps the first names per start before the exchange."""
+    masks, blocks = reach(edges, files, depth)
+    counts = cut_lineage(consumer_counts(masks))
+    wanted = (
+        counts.filter((F.col("before") < named) & (F.col("n") > 0))
+        .groupBy("block", "level").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("wanted"))
+    )
+    near = (
+        masks.join(wanted, ["block", "level"])
+        .withColumn("mask", F.col("mask").bitwiseAND(F.col("wanted"))).filter("mask <> 0").drop("wanted")
+    )
     first = Window.partitionBy("start").orderBy("level", "consumer")
     shown = (
-        reached.withColumn("i", F.row_number().over(first)).filter("i <= 5")
+        _unmasked(near, blocks).withColumn("i", F.row_number().over(first)).filter(F.col("i") <= named)
         .groupBy("start")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "consumer"))), lambda s: s["consumer"]), ", ").alias("shown"))
     )
+    starts = blocks.select("block", F.inline("starts")).select("block", "bit", "start")
+    totals = (
+        counts.groupBy("block", "bit").agg(F.sum("n").alias("n")).filter("n > 0").join(starts, ["block", "bit"])
+    )
     n = F.col("n")
     message = F.concat(
         F.lit("Changes to this file impact "), n.cast("string"), F.lit(" downstream file"),
         F.when(n > 1, "s").otherwise(""), F.lit(": "), F.col("shown"),
-        F.when(n > 5, F.concat(F.lit(" (+"), (n - 5).cast("string"), F.lit(" more)"))).otherwise(""),
+        F.when(n > named, F.concat(F.lit(" (+"), (n - named).cast("string"), F.lit(" more)"))).otherwise(""),
     )
     return findings(
         totals.join(shown, "start"), rule_id="impact/downstream-consumers", analyzer="impact", severity="info",

@@ -108,6 +108,35 @@ def test_import_graph(spark, rows):
     assert rows(graph.consumers(cycle, start, 10), "consumer") == [("src/a.ts",), ("src/b.ts",), ("src/d.ts",)]
 
 
+def test_reach_of_many_starts(spark, rows):
+    """150 files, three blocks of starts: a hub that all import, a long chain, repeated and
+    self links, against a search from every file."""
+    name = lambda i: f"src/f{i:03d}.ts"
+    links = [(name(i), name(0)) for i in range(1, 150)] + [(name(i), name(i + 1)) for i in range(20, 90)]
+    links += [(name(7), name(3)), (name(7), name(3)), (name(5), name(5)), (name(3), name(140)), (name(140), name(7))]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in links], "src string, dst string, line long").repartition(3)
+    files = spark.createDataFrame([(name(i),) for i in range(150)] + [(name(1),), (None,)], "path string")
+    want, text = [], {}
+    for start in map(name, range(150)):
+        level, seen, found = 0, {start}, []
+        step = {start}
+        while step and level < 4:
+            level += 1
+            step = {a for a, b in links if b in step} - seen
+            seen |= step
+            found += [(level, c) for c in sorted(step)]
+        want += [(start, c, at) for at, c in found]
+        if found:
+            more = f" (+{len(found) - 3} more)" if len(found) > 3 else ""
+            text[start] = f"Changes to this file impact {len(found)} downstream file{'s' * (len(found) > 1)}: " + ", ".join(c for _, c in found[:3]) + more
+    assert rows(graph.consumers(edges, files, 4), "start", "consumer", "level") == sorted(want)
+    masks, blocks = graph.reach(edges, files, 4)
+    assert masks.filter("level > 0").count() < len(want)
+    assert blocks.selectExpr("max(size(starts))").first()[0] <= graph.MASK_BITS
+    assert dict(rows(graph.impact_findings(edges, files, 4, named=3), "file", "message")) == text
+    assert graph.impact_findings(edges.limit(0), files).count() == graph.impact_findings(edges, files.limit(0)).count() == 0
+
+
 def test_layers(spark, rows):
     layers = [("ui", ["ui/**"]), ("db", ["db/**"]), ("any", ["**/*"])]
     rules = [("ui", ["any"], []), ("db", [], ["ui"])]

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import catalog
 from codeloom.functions import identity, paths, text
 from codeloom.functions.text import regex
+from codeloom.operators.taint import mentions
 from codeloom.schema import FINDING_COLUMNS
-from codeloom.session import small_side
+from codeloom.session import cut_lineage, small_side
 
 
 def merge_findings(parts: list[DataFrame], run_id: Column) -> DataFrame:
@@ -131,33 +133,59 @@ def baseline_filter(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
-def dismissed_by(entries: list[tuple[str, str, str]]) -> Column:
-    """Condition of (rule or '*', pattern, 'message' | 'file') entries on a finding."""
-    result = F.lit(False)
-    for rule, pattern, kind in entries:
-        match = (
-            F.col("message").contains(pattern)
-            if kind == "message"
-            else paths.glob_match(F.col("file"), pattern) if kind == "file" else F.lit(False)
-        )
-        result = result | (match if rule == "*" else (F.col("rule_id") == rule) & match)
-    return result
+def _glob_anchor(pattern: Column) -> Column:
+    """A text that every path matching the glob contains: its longest literal part, or what
+    stands before the first group, class or escape. `**/` may stand for nothing."""
+    special = pattern.rlike(r"[{\[\\]|^[!#]")
+    parts = F.transform(F.split(pattern, r"\*\*/|[*?]+"), lambda p: F.struct(F.length(p).alias("size"), p.alias("part")))
+    return F.when(special, F.regexp_extract(pattern, r"^[^*?{\[\\!#]*", 0)).otherwise(F.array_max(parts)["part"])
+
+
+def _without_matches(findings: DataFrame, entries: DataFrame, column: str, match: Column) -> DataFrame:
+    """Findings whose `column` no entry (rule or `*`, anchor, ...) matches, where `match` is a
+    condition on the entry and `text`. Each text is looked at once per rule that has entries."""
+    known = findings.filter(F.col(column).isNotNull())
+    texts = known.select(F.lit("*").alias("rule"), F.col(column).alias("text"))
+    texts = texts.unionByName(known.select(F.col("rule_id").alias("rule"), F.col(column).alias("text")))
+    texts = texts.join(entries.select("rule").distinct(), "rule", "left_semi").distinct()
+    texts = cut_lineage(texts.select(F.col("rule").alias("path"), F.monotonically_increasing_id().alias("text_id"), "text"))
+    anchored = entries.filter("anchor <> ''").select(F.col("rule").alias("path"), F.col("anchor").alias("var"))
+    near = mentions(texts, anchored).join(texts, ["path", "text_id"]).withColumnRenamed("var", "anchor")
+    candidates = near.select("path", "anchor", "text").unionByName(texts.select("path", F.lit("").alias("anchor"), "text"))
+    hits = cut_lineage(
+        candidates.withColumnRenamed("path", "rule").join(entries, ["rule", "anchor"]).filter(match)
+        .select("rule", F.col("text").alias(column)).distinct()
+    )
+    everywhere = hits.filter("rule = '*'").select(column)
+    return findings.join(everywhere, column, "left_anti").join(
+        hits.withColumnRenamed("rule", "rule_id"), ["rule_id", column], "left_anti"
+    )
 
 
-def dismissal_filter(findings: DataFrame, dismissals: DataFrame, chunk: int = 500) -> DataFrame:
-    """Findings that no stored dismissal matches.
+def dismissal_filter(findings: DataFrame, dismissals: DataFrame) -> DataFrame:
+    """Findings that no stored dismissal (rule_id or `*`, pattern, pattern_type) matches: a
+    `message` pattern is a part of the message, a `file` pattern a glob of the path.
 
-    Dismissals are typed in by people, so they fit a filter condition: the entries are
-    read in chunks of at most `chunk` rows and each chunk becomes one predicate, without
-    a theta join however many there are.
+    Patterns stay rows of a table. Each is looked up in an index of the texts' grams by a text
+    that its matches must contain; a glob without such a text meets all paths of its rule.
+    Patterns or rules that are null, and other kinds of patterns, match nothing.
     """
-    entries = dismissals.select("rule_id", "pattern", "pattern_type").distinct()
-    kept, batch = findings, []
-    for row in entries.toLocalIterator():
-        batch.append(tuple(row))
-        if len(batch) == chunk:
-            kept, batch = kept.filter(~dismissed_by(batch)), []
-    return kept.filter(~dismissed_by(batch)) if batch else kept
+    entries = dismissals.select(F.col("rule_id").alias("rule"), "pattern", "pattern_type").dropna().distinct()
+    text, pattern = F.col("text"), F.col("pattern")
+    messages = entries.filter("pattern_type = 'message'").select("rule", "pattern", pattern.alias("anchor"))
+    # The only Python code: a glob becomes a regex once per stored pattern. Workers get the
+    # code of the module itself.
+    register_pickle_by_value(paths)
+    to_regex = F.udf(paths.glob_to_regex, "string")
+    bare = F.ltrim(pattern, F.lit("!"))
+    globs = cut_lineage(
+        entries.filter("pattern_type = 'file'").select(
+            "rule", _glob_anchor(pattern).alias("anchor"), to_regex(bare).alias("regex"),
+            ((F.length(pattern) - F.length(bare)) % 2 == 0).alias("positive"),
+        )
+    )
+    kept = _without_matches(findings, messages, "message", text.contains(pattern))
+    return _without_matches(kept, globs, "file", F.regexp_like(text, F.col("regex")) == F.col("positive"))
 
 
 def first_setting(files: DataFrame, overrides: list[tuple[str, dict]], base: dict) -> DataFrame:

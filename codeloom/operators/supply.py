@@ -36,22 +36,25 @@ def file_coverage(coverage: DataFrame, minimum: float = _D["min_coverage"]) -> D
 
 def coverage_path_match(files: DataFrame, reports: DataFrame) -> DataFrame:
     """(path, report_path) of the first report row (report_path, ord) where one path ends
-    with the other. Every suffix of the longer path is looked up by equality, so equal
-    file names in many folders do not meet each other."""
-    suffixes = lambda c: F.explode(
-        F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.length(c)))
-    ).alias("suffix")
+    with the other.
+
+    The ends of the longer path are looked up by length and hash, at those lengths only that
+    paths of the other side have; `endswith` then decides. Equal file names in many folders
+    do not meet each other."""
     mine = files.select("path").distinct()
     theirs = reports.groupBy("report_path").agg(F.min("ord").alias("ord"))
-    longer = mine.select("path", suffixes("path")).join(
-        theirs.withColumn("suffix", F.col("report_path")), "suffix"
-    )
-    shorter = theirs.select("report_path", "ord", suffixes("report_path")).join(
-        mine.withColumn("suffix", F.col("path")), "suffix"
-    )
-    columns = ["path", "report_path", "ord"]
+
+    def ending(longer: DataFrame, long: str, shorter: DataFrame, short: str) -> DataFrame:
+        # Lengths are numbers up to that of the longest path, so their list is short.
+        sizes = [n for (n,) in shorter.select(F.char_length(short)).distinct().collect() if n is not None]
+        fitting = F.filter(F.array(*map(F.lit, sorted(sizes))).cast("array<int>"), lambda n: n <= F.char_length(long))
+        ends = longer.withColumn("size", F.explode(fitting))
+        ends = ends.withColumn("end", F.xxhash64(F.substring(F.col(long), F.char_length(long) - F.col("size") + 1, F.col("size"))))
+        whole = shorter.withColumn("size", F.char_length(short)).withColumn("end", F.xxhash64(short))
+        return ends.join(whole, ["size", "end"]).filter(F.col(long).endswith(F.col(short))).select("path", "report_path", "ord")
+
     return (
-        longer.select(*columns).unionByName(shorter.select(*columns))
+        ending(mine, "path", theirs, "report_path").unionByName(ending(theirs, "report_path", mine, "path"))
         .groupBy("path").agg(F.min_by("report_path", F.struct("ord", "report_path")).alias("report_path"))
     )
 

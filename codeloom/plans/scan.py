@@ -134,7 +134,9 @@ def families(settings: Settings) -> dict[str, tuple[list[str], Detector]]:
         if t.get("changed") is not None:
             # Reports name files by other roots than the tree does.
             reports = t["coverage"].withColumnRenamed("path", "report_path")
-            matched = supply.coverage_path_match(t["changed"], reports.withColumn("ord", F.lit(0)))
+            # The first report wins: by `ord`, or by the record of one report.
+            place = next((F.col(c) for c in ("ord", "record") if c in reports.columns), F.lit(0))
+            matched = supply.coverage_path_match(t["changed"], reports.withColumn("ord", place))
             parts.append(
                 supply.new_code_coverage(t["changed"], reports.join(matched, "report_path"), s.min_new_code_coverage)
             )

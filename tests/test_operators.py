@@ -246,6 +246,20 @@ def test_function_summaries(spark, rows):
     assert rows(taint.function_summaries(functions, exports, calls)) == [("lib.ts", "run", 0)]
 
 
+def test_coverage_match_of_many_paths(spark, rows):
+    names = [f"{a}{b}{c}" for a in ("", "src/", "/abs/src/", "pkg/é/") for b in ("", "x/", "lib/") for c in ("a.ts", "ba.ts", "index.py")]
+    reports = [("C:/" + n if i % 3 else n[1:], i * 7 % 50) for i, n in enumerate(names)] + [("ts", 60), (None, 0), ("a.ts", 1), ("a.ts", 99)]
+    want = []
+    for n in names:
+        met = [(o, r) for r, o in reports if r is not None and (n.endswith(r) or r.endswith(n))]
+        if met:
+            want.append((n, min(met)[1]))
+    files = spark.createDataFrame([(n,) for n in names + names[:2] + [None]], "path string")
+    frame = spark.createDataFrame(reports, "report_path string, ord long")
+    assert rows(supply.coverage_path_match(files, frame)) == sorted(want)
+    assert supply.coverage_path_match(files, frame.limit(0)).count() == supply.coverage_path_match(files.limit(0), frame).count() == 0
+
+
 def test_coverage_match_and_new_code(spark, rows):
     files = spark.createDataFrame([("src/a.ts",), ("src/b.ts",)], "path string")
     reports = spark.createDataFrame([("/repo/src/a.ts", 2), ("a.ts", 3), ("none", 1)], "report_path string, ord long")

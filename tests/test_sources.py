@@ -1,3 +1,6 @@
+import re
+
+from codeloom.functions import paths
 from codeloom.sources import corpus, reports, stores
 from codeloom.operators import results
 
@@ -135,9 +138,33 @@ def test_baseline_ignores_lines_and_keeps_new(spark, rows):
     assert results.baseline_filter(old, stores.baseline_rows(old)).count() == 0
 
 
-def test_dismissals_in_chunks(spark, rows):
-    found = spark.createDataFrame([(f"r{i}", f"src/f{i}.ts", f"m {i}") for i in range(6)], "rule_id string, file string, message string")
-    entries = spark.createDataFrame(
-        [("r0", "m 0", "message"), ("r1", "m 0", "message"), ("*", "src/f[45].ts", "file")], "rule_id string, pattern string, pattern_type string"
-    )
-    assert rows(results.dismissal_filter(found, entries, chunk=1), "rule_id") == [("r1",), ("r2",), ("r3",)]
+def test_dismissals(spark, rows):
+    """Against every pattern on every finding."""
+    files = ["src/a.ts", "a.ts", "src/x/a.ts", ".hid/a.ts", "src/[b].ts", "lib/b.tsx", "lib/b.py", "README", "src/äö.ts", None]
+    found = [(f"r{i % 4}" if i % 9 else None, f, f"Unused import: 'n{i}'" if i % 5 else None) for i, f in enumerate(files * 8)]
+    found += [("r1", "src/a.ts", ""), ("r2", "src/a.ts", "x")]
+    entries = [
+        ("r0", "'n1", "message"), ("r1", "n2", "message"), ("r1", "", "message"), ("*", "n7'", "message"), ("*", "x", "message"), ("r2", "7", "message"),
+        ("r0", "**/a.ts", "file"), ("*", "src/[äb]*.ts", "file"), ("r3", "lib/*.{py,tsx}", "file"), ("r2", "!src/**", "file"), ("r3", "src/\\[b\\].ts", "file"),
+        ("r1", "#x", "file"), ("*", "READ??", "file"), (None, "n3", "message"), ("r0", None, "file"), ("r0", "n3", "other"), ("r0", "**/a.ts", "file"),
+    ]
+
+    def matches(rule, file, message, entry):
+        wanted, pattern, kind = entry
+        if wanted is None or pattern is None or wanted not in ("*", rule):
+            return False
+        if kind == "message":
+            return message is not None and pattern in message
+        if kind != "file" or file is None:
+            return False
+        hit = re.search(paths.glob_to_regex(pattern.lstrip("!")).replace("\\z", "\\Z"), file) is not None
+        return hit != pattern.startswith("!")
+
+    schema = "rule_id string, file string, message string"
+    frame = spark.createDataFrame(found, schema).repartition(3)
+    stored = spark.createDataFrame(entries, "rule_id string, pattern string, pattern_type string")
+    want = [f for f in found if not any(matches(*f, e) for e in entries)]
+    assert 0 < len(want) < len(found)
+    assert rows(results.dismissal_filter(frame, stored), "rule_id", "file", "message") == sorted(want, key=repr)
+    assert results.dismissal_filter(frame, stored.limit(0)).count() == len(found)
+    assert results.dismissal_filter(frame, spark.createDataFrame([("*", "**/*", "file")], stored.schema)).filter("file NOT LIKE '.%'").count() == 0

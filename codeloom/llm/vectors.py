@@ -3,8 +3,11 @@
 Rotations that balance the bits of binary codes are learnt on a bounded sample. Every vector
 gets codes from each rotation; parts of a code are the keys of a table, so that vectors that
 agree in one part meet in a bucket. Vectors that meet are compared by the cosine of their
-original components in double precision. The number of tables follows from the wanted recall
-at the threshold, the bits of a key from the number of vectors, so buckets stay small.
+original components in double precision. The bits of a key follow from the number of vectors,
+so buckets stay small, and the number of tables from the wanted recall: it is measured, with the
+learnt rotations, on pairs of the sample and on partners made at the threshold's cosine. Where a
+common mean or a skewed spread leaves too little agreement for MOST_TABLES, keys get shorter,
+down to none, when all vectors are compared with all, block by block.
 
 Buckets are split into blocks when they are large, and all blocks are compared. A pair counts
 in the first table in which it meets, so no pairs leave a task: only each vector's number of
@@ -28,8 +31,12 @@ from codeloom.llm.common import ship, written
 from codeloom.llm.graphs import components
 
 THRESHOLD = 0.9
-#: Recall aimed at for pairs at the threshold, with bits that differ as random directions do.
+#: Recall aimed at, as measured on pairs at the threshold.
 RECALL = 0.97
+#: Tables at most, and vectors of the sample that partners are made for.
+MOST_TABLES, PAIRED = 160, 2_048
+#: Pairs at the threshold in the sample from which on they are measured, too.
+LEAST_PAIRS = 32
 #: Vectors of the sample that rotations are learnt on, and rounds of learning.
 SAMPLE, LEARNING = 8_192, 30
 CODE_BITS = 64
@@ -47,32 +54,87 @@ def usable(column: str) -> Column:
     return F.when(~bad & ~zero, numbers)
 
 
-def learn(sample: np.ndarray, rotations: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean, and per rotation a projection to at most CODE_BITS balanced directions."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    bits = min(CODE_BITS, sample.shape[1])
-    _, _, axes = np.linalg.svd(centred, full_matrices=False)
-    axes = axes[:bits]
-    if len(axes) < bits:
-        # Fewer samples than directions: the rest is filled up at random.
-        extra = np.random.default_rng(seed).normal(size=(sample.shape[1], bits - len(axes))).T
-        axes = np.vstack([axes, extra / np.linalg.norm(extra, axis=1, keepdims=True)])
-    low = centred @ axes.T
-    out = []
-    for r in range(rotations):
-        turn, _ = np.linalg.qr(np.random.default_rng([seed, r]).normal(size=(bits, bits)))
+class Rotations:
+    """The mean, and projections to at most CODE_BITS balanced directions each, learnt one by
+    one as tables ask for them."""
+
+    def __init__(self, sample: np.ndarray, seed: int = 7) -> None:
+        self.seed, self.turns = seed, []
+        self.mean = sample.mean(axis=0)
+        centred = sample - self.mean
+        self.width = min(CODE_BITS, sample.shape[1])
+        _, _, axes = np.linalg.svd(centred, full_matrices=False)
+        axes = axes[: self.width]
+        if len(axes) < self.width:
+            # Fewer samples than directions: the rest is filled up at random.
+            extra = np.random.default_rng(seed).normal(size=(sample.shape[1], self.width - len(axes))).T
+            axes = np.vstack([axes, extra / np.linalg.norm(extra, axis=1, keepdims=True)])
+        self.axes, self.low = axes, centred @ axes.T
+
+    def learn(self) -> None:
+        turn, _ = np.linalg.qr(np.random.default_rng([self.seed, len(self.turns)]).normal(size=(self.width, self.width)))
         for _ in range(LEARNING):
-            codes = np.where(low @ turn >= 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(codes.T @ low)
+            codes = np.where(self.low @ turn >= 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(codes.T @ self.low)
             turn = (left @ right).T
-        out.append(axes.T @ turn)
-    return mean, np.stack(out)
+        self.turns.append(self.axes.T @ turn)
 
+    def keys(self, unit: np.ndarray, bits: int, tables: range) -> np.ndarray:
+        """The vectors' keys in some tables, one column each."""
+        keys = np.zeros((len(unit), len(tables)), dtype=np.int32)
+        per_code, weight = max(1, self.width // max(bits, 1)), 1 << np.arange(bits)
+        for column, table in enumerate(tables):
+            turn, part = divmod(table, per_code)
+            while bits and turn >= len(self.turns):
+                self.learn()
+            if bits:
+                keys[:, column] = ((unit - self.mean) @ self.turns[turn][:, part * bits : (part + 1) * bits] >= 0) @ weight
+        return keys
 
-def tables_for(threshold: float, bits: int, recall: float) -> int:
-    same = 1 - math.acos(threshold) / math.pi
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
+
+def made_partners(unit: np.ndarray, threshold: float, seed: int = 11) -> list[np.ndarray]:
+    """Two partners of each vector at the threshold's cosine: off in any direction, and off
+    along the difference of two other vectors, as the data spread."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for away in (rng.normal(size=unit.shape), unit[rng.permutation(len(unit))] - unit[rng.permutation(len(unit))]):
+        away = away + 1e-9 * rng.normal(size=unit.shape)
+        away -= (away * unit).sum(axis=1, keepdims=True) * unit
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        out.append(threshold * unit + math.sqrt(1 - threshold**2) * away / np.where(size > 0, size, 1))
+    return out
+
+
+def choose(sample: np.ndarray, bits: int, threshold: float, recall: float) -> tuple[Rotations, int, int]:
+    """The rotations, bits of a key and number of tables by which the wanted share of pairs
+    meets in a table: of made partners of either kind, and of the pairs that the sample holds.
+    Fewer bits are tried until MOST_TABLES suffice; with none, every pair is compared."""
+    rotations = Rotations(sample)
+    some = sample[:PAIRED]
+    partners = made_partners(some, threshold)
+    first, second = np.nonzero(np.triu(some @ some.T >= threshold, 1))
+    if len(first) > PAIRED:
+        chosen = np.random.default_rng(rotations.seed).choice(len(first), PAIRED, replace=False)
+        first, second = first[chosen], second[chosen]
+    while bits:
+        met = [np.zeros(len(some), dtype=bool) for _ in partners]
+        if len(first) >= LEAST_PAIRS:
+            met.append(np.zeros(len(first), dtype=bool))
+        # With as many tables as half the buckets of one, all against all is no dearer.
+        for table in range(min(MOST_TABLES, 2**bits // 2)):
+            here = range(table, table + 1)
+            own = rotations.keys(some, bits, here)[:, 0]
+            same = [own == rotations.keys(other, bits, here)[:, 0] for other in partners] + [own[first] == own[second]]
+            for seen, now in zip(met, same):
+                seen |= now
+            worst = min(seen.mean() for seen in met)
+            if worst >= recall:
+                return rotations, bits, table + 1
+            # Far from the aim after half of the tables: no need to try the others.
+            if table == MOST_TABLES // 2 and worst < recall / 2:
+                break
+        bits -= 1
+    return rotations, 0, 1
 
 
 def block_links(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, keys: np.ndarray, table: int, left: np.ndarray, threshold: float):
@@ -115,26 +177,18 @@ def near_vectors(
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n, width = size["n"], size["width"] or 1
     bits = int(np.clip(math.ceil(math.log2(max(n, 2) / bucket)), min(6, width), min(24, CODE_BITS, width)))
-    tables = tables_for(threshold, bits, recall)
-    per_code = max(1, min(CODE_BITS, width) // bits)
     # A sample of bounded size, taken by a hash of the vector.
     share = min(1.0, SAMPLE / max(n, 1))
     place = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / float(1 << 20)
     sample = [r["v"] for r in classes.where(place < share).select("v").limit(2 * SAMPLE).collect()]
-    model = spark.sparkContext.broadcast(
-        learn(_matrix(sample, width), math.ceil(tables / per_code)) if sample else None
-    )
+    rotations, bits, tables = choose(_matrix(sample, width), bits, threshold, recall) if sample else (None, 0, 1)
+    if rotations:
+        rotations.low = None
+    model = spark.sparkContext.broadcast(rotations)
 
     def keyed(batches):
         for batch in batches:
-            unit = _matrix(batch["v"].to_pylist(), width)
-            mean, turns = model.value
-            keys = np.zeros((len(unit), tables), dtype=np.int32)
-            weight = 1 << np.arange(bits)
-            for t in range(tables):
-                r, part = divmod(t, per_code)
-                on = (unit - mean) @ turns[r][:, part * bits : (part + 1) * bits] >= 0
-                keys[:, t] = on @ weight
+            keys = model.value.keys(_matrix(batch["v"].to_pylist(), width), bits, range(tables))
             yield pa.RecordBatch.from_arrays(
                 [batch["class_id"], batch["copies"], batch["v"], pa.array(list(keys), pa.list_(pa.int32()))],
                 names=["class_id", "copies", "v", "keys"],

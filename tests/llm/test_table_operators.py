@@ -23,6 +23,40 @@ def embeddings(spark):
     return spark.createDataFrame(frame, "vec_id long, embedding array<float>, label int, class_id string").repartition(4)
 
 
+@pytest.mark.parametrize("bits", [6, 12, 20])
+@pytest.mark.parametrize("mean", [0, 1.5, 3])
+@pytest.mark.parametrize("spread", [64, 16])
+def test_tables_reach_recall(bits, mean, spread):
+    """Centred, shifted and skewed vectors: the chosen tables find the pairs whatever the
+    length of the keys was to be."""
+    rng = np.random.default_rng(1)
+    scale = np.where(np.arange(64) < spread, 1.0, 0.1)
+    shift = rng.normal(size=64)
+    base = rng.normal(size=(1500, 64)) * scale + shift * mean * np.linalg.norm(scale) / np.linalg.norm(shift)
+    unit = np.vstack([base, base[:500] + rng.normal(size=(500, 64)) * scale * 0.45])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rotations, chosen, tables = vectors.choose(unit[rng.permutation(2000)], bits, 0.9, vectors.RECALL)
+    assert chosen <= bits and tables <= vectors.MOST_TABLES
+    keys = rotations.keys(unit, chosen, range(tables))
+    linked = np.triu(unit @ unit.T >= 0.9, 1)
+    met = np.zeros_like(linked)
+    for t in range(tables):
+        met |= keys[:, t][:, None] == keys[:, t][None]
+    assert linked.sum() > 200 and (met & linked).sum() >= 0.95 * linked.sum()
+
+
+@pytest.mark.parametrize("bucket", [1, 64])
+def test_vectors_with_a_common_mean(spark, bucket):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1200, 32)) + 1.5
+    rows = np.vstack([base, base[:300] + rng.normal(scale=0.5, size=(300, 32))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum() - len(rows)
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in vectors.near_vectors(frame, bucket=bucket).collect())
+    assert 0.95 * true <= found <= true
+
+
 def usable(v, zero):
     return v is not None and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))
 

@@ -2,9 +2,10 @@
 
 Urls are split into host and path segments. Segments that hold digits are folded to their
 shape; then the tree of each host is walked level by level: where a node has many children,
-the rare ones become a wildcard, and of the others those that lead on alike and carry labels
-at statistically equal rates are merged into the largest of them. Each template's blocked
-share among labelled urls is smoothed, and templates above a limit are rejected.
+the rare ones become a wildcard unless their labels differ from it, and of the others those that
+lead on alike and carry labels at statistically equal rates on all hosts are merged into the
+largest of them, by count and then by name. Each template's blocked share among labelled urls is
+smoothed towards its share in the domain and on all hosts; templates above a limit are rejected.
 
 Rules decide before templates, and in the query they are also the labels from which the
 templates learn. Defined results: a null url, or one without `://`, has an empty host and
@@ -39,8 +40,10 @@ LEVELS = 8
 MANY, LEAST_SHARE = 16, 0.02
 #: Standard errors within which the label rates of two branches count as equal.
 Z = 2.0
-#: Prior urls, half of them blocked, added to each template, and the blocked share to reject.
+#: Prior urls added to each template, and the blocked share to reject.
 PRIOR, LEAST_PURITY = 4.0, 0.9
+#: What an url without a label adds to the prior urls.
+UNLABELLED = 0.1
 
 
 def host_of(url: Column) -> Column:
@@ -69,9 +72,9 @@ def shapes(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), segment)
 
 
-def _alike(part: str, other: str) -> Column:
-    """Whether a branch's rate of `part` labels equals that of the largest one, within Z."""
-    n1, n0, k1, k0 = F.col("n"), F.col("of.n"), F.col(part), F.col(other)
+def _alike(part: str, whole: str, other_part: str, other_whole: str) -> Column:
+    """Whether two shares are equal within Z standard errors."""
+    k1, n1, k0, n0 = F.col(part), F.col(whole), F.col(other_part), F.col(other_whole)
     pooled = (k1 + k0) / (n1 + n0)
     error = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
     return F.abs(k1 / n1 - k0 / n0) <= Z * error
@@ -88,22 +91,34 @@ def generalise(tree: DataFrame, level: int) -> DataFrame:
         .groupBy("host", "so_far", "segment")
         .agg(*counts, F.max_by("next", F.struct("n", "next")).alias("next"))
     )
+    # What a segment leads to on all hosts tells more than on one, where labels may be few.
+    pool = child.groupBy("so_far", "segment").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
     node = child.groupBy("host", "so_far").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
-    child = child.join(node, ["host", "so_far"]).withColumn(
-        "rare", (F.col("children") > MANY) & (F.col("n") < LEAST_SHARE * F.col("total"))
+    child = (
+        child.join(node, ["host", "so_far"]).join(pool, ["so_far", "segment"])
+        .withColumn("rare", (F.col("children") > MANY) & (F.col("n") < LEAST_SHARE * F.col("total")))
     )
     # Children that stay are few: at most 1 / LEAST_SHARE of them, or MANY.
     largest = (
         child.where(~F.col("rare"))
         .groupBy("host", "so_far", "next")
-        .agg(F.max(F.struct("n", "segment", "blocked", "allowed")).alias("of"))
+        .agg(F.max(F.struct("n", "segment", "all_n", "all_blocked", "all_allowed")).alias("of"))
+    )
+    merged = F.when(
+        _alike("all_blocked", "all_n", "of.all_blocked", "of.all_n") & _alike("all_allowed", "all_n", "of.all_allowed", "of.all_n"),
+        F.col("of.segment"),
     )
-    merged = F.when(_alike("blocked", "of.blocked") & _alike("allowed", "of.allowed"), F.col("of.segment"))
+    labels = F.col("blocked") + F.col("allowed")
+    wild = child.where("rare").groupBy("host", "so_far").agg(F.sum("blocked").alias("wild_blocked"), F.sum(labels).alias("wild_labels"))
+    child = child.withColumn("labels", labels).join(wild, ["host", "so_far"], "left")
+    # A rare child without labels is part of the wildcard, one with labels if their rate is.
+    folded = F.col("rare") & ((F.col("labels") == 0) | _alike("blocked", "labels", "wild_blocked", "wild_labels"))
     return (
         child.join(largest, ["host", "so_far", "next"], "left")
         .select(
             "host", "so_far", "segment",
-            F.when(F.col("rare"), F.lit("*")).otherwise(F.coalesce(merged, F.col("segment"))).alias("token"),
+            F.when(folded, F.lit("*")).when(F.col("rare"), F.col("segment"))
+            .otherwise(F.coalesce(merged, F.col("segment"))).alias("token"),
         )
     )
 
@@ -134,16 +149,38 @@ def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
     )
 
 
+def domain_of(host: Column) -> Column:
+    """The last two names of a host."""
+    return F.substring_index(host, ".", -2)
+
+
 def judged_templates(
-    of_shapes: DataFrame, prior: float = PRIOR, least_purity: float = LEAST_PURITY
+    of_shapes: DataFrame, prior: float = PRIOR, least_purity: float = LEAST_PURITY, unlabelled: float = UNLABELLED
 ) -> DataFrame:
-    """Per (host, template) the counts, the smoothed purity and whether it is rejected."""
-    purity = (F.col("blocked") + prior / 2) / (F.col("blocked") + F.col("allowed") + prior)
+    """Per (host, template) the counts, the smoothed purity and whether it is rejected.
+
+    The blocked share of a template is smoothed towards that of the same template on the other
+    hosts of the domain, which is smoothed towards that on all other domains, and this towards
+    one half. Where many urls have no label, the labelled ones say less: each counts as
+    `unlabelled` more urls of the share that is smoothed to."""
+    names = ("n", "blocked", "allowed")
+    sums = lambda to: [F.sum(c).alias(f"{to}{c}") for c in names]
+
+    def purity(inner: str, outer: str, parent: Column) -> Column:
+        """Of the counts `outer` without the counts `inner` that are part of them."""
+        n, blocked, allowed = (F.col(f"{outer}{c}") - (F.col(f"{inner}{c}") if inner != outer else 0) for c in names)
+        weight = prior + unlabelled * (n - blocked - allowed)
+        return (blocked + weight * parent) / (blocked + allowed + weight)
+
+    own = of_shapes.groupBy("host", "template").agg(*sums("")).withColumn("domain", domain_of(F.col("host")))
+    domains = own.groupBy("domain", "template").agg(*sums("domain_"))
+    anywhere = domains.groupBy("template").agg(*[F.sum(f"domain_{c}").alias(f"any_{c}") for c in names])
+    domains = domains.join(anywhere, "template").withColumn("elsewhere", purity("domain_", "any_", F.lit(0.5)))
+    judged = own.join(domains, ["domain", "template"]).withColumn("beside", purity("", "domain_", F.col("elsewhere")))
     return (
-        of_shapes.groupBy("host", "template")
-        .agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "allowed")))
-        .withColumn("purity", purity)
+        judged.withColumn("purity", purity("", "", F.col("beside")))
         .withColumn("rejected", F.col("purity") >= least_purity)
+        .select("host", "template", *names, "purity", "rejected")
     )
 
 

@@ -145,6 +145,24 @@ def test_url_templates_learn(spark):
     assert verdict["http://h.com/u/zz/x"] == "block"
 
 
+def test_url_templates_of_other_hosts(spark):
+    """A host without labels learns from the domain's others, and these from all; a few labels
+    among very many urls without one decide nothing, nor do rare branches of other labels."""
+    rows = [(f"http://h{i % 5}.a.com/de/{i}", "block") for i in range(200)] + [(f"http://h{i % 5}.a.com/en/{i}", "allow") for i in range(300)]
+    rows += [("http://new.a.com/de/1", None), ("http://new.a.com/en/1", None), ("http://z.org/de/5", None), ("http://z.org/xx/5", None)]
+    rows += [(f"http://big.net/p/{i}", "block" if i < 16 else None) for i in range(1000)] + [(f"http://few.net/q/{i}", "block" if i < 40 else None) for i in range(50)]
+    rows += [(f"http://w.net/{chr(97 + i // 26)}{chr(97 + i % 26)}/x", "allow") for i in range(300)] + [("http://w.net/bad/x", "block")] * 5 + [("http://w.net/bad/x", None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark string")
+    got = {rows[r.page_id][0]: r.verdict for r in urls.filter_urls(frame, (), F.col("mark")).collect()}
+    blocked = {u for u, v in got.items() if v == "block"}
+    assert blocked == {u for u in got if "/de/" in u and "w.net" not in u or "few.net" in u}
+    shapes = spark.createDataFrame([("a.x.com", "t", 10, 4, 1), ("b.x.com", "t", 3, 0, 0), ("y.org", "t", 20, 0, 20)], "host string, template string, n long, blocked long, allowed long")
+    smooth = lambda n, k, a, up: (k + (4 + 0.1 * (n - k - a)) * up) / (k + a + 4 + 0.1 * (n - k - a))
+    x = lambda other: smooth(*other, smooth(20, 0, 20, 0.5))
+    want = {"a.x.com": smooth(10, 4, 1, x((3, 0, 0))), "b.x.com": smooth(3, 0, 0, x((10, 4, 1))), "y.org": smooth(20, 0, 20, smooth(0, 0, 0, smooth(13, 4, 1, 0.5)))}
+    assert {r.host: round(r.purity, 9) for r in urls.judged_templates(shapes).collect()} == {h: round(p, 9) for h, p in want.items()}
+
+
 def test_pipeline(spark, nasty, tmp_path):
     nasty.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

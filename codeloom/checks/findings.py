@@ -537,7 +537,10 @@ def _(v):
     return registry.run({"lines": v("v_lines")}, "all").select(*FINDING)
 
 
-@query("incremental_check", secret_sql("v_lines"))
+_UNKNOWN_LINES = "(SELECT path, line, content FROM v_lines WHERE path NOT LIKE '%.py') unknown"
+
+
+@query("incremental_check", secret_sql(_UNKNOWN_LINES))
 def _(v):
     stored = v.table("documents").schema
     documents = v.spark.readStream.schema(stored).option("pathGlobFilter", "documents.parquet").parquet(v.folder)
@@ -547,9 +550,11 @@ def _(v):
         F.col("text").alias("content"),
     )
     out, checkpoint = scratch_path(v.spark, "check"), scratch_path(v.spark, "check-progress")
-    baseline = stores.baseline_rows(v("v_findings"))
-    incremental.incremental_check(files, baseline, out, checkpoint)
-    return v.spark.read.schema(line_rules.secret_scan(v("v_lines")).schema).parquet(out).select(*FINDING, "code_snippet")
+    # The baseline knows what Python files hold.
+    found = line_rules.secret_scan(v("v_lines"))
+    baseline = stores.baseline_rows(found.filter("file LIKE '%.py'"))
+    incremental.incremental_check(files, baseline, out, checkpoint, scratch_path(v.spark, "check-state"))
+    return v.spark.read.schema(found.schema).parquet(out).select(*FINDING, "code_snippet")
 
 
 @query("incremental_runs", f"SELECT run_id, {_SUMMARY} FROM v_findings GROUP BY run_id")

@@ -3,6 +3,7 @@ import re
 from codeloom.functions import paths
 from codeloom.sources import corpus, reports, stores
 from codeloom.operators import results
+from codeloom.streaming import incremental
 
 DIFF = """diff --git a/src/a.ts b/src/a.ts
 index 1..2 100644
@@ -168,3 +169,27 @@ def test_dismissals(spark, rows):
     assert rows(results.dismissal_filter(frame, stored), "rule_id", "file", "message") == sorted(want, key=repr)
     assert results.dismissal_filter(frame, stored.limit(0)).count() == len(found)
     assert results.dismissal_filter(frame, spark.createDataFrame([("*", "**/*", "file")], stored.schema)).filter("file NOT LIKE '.%'").count() == 0
+
+
+def test_saved_again_reports_only_new_findings(spark, rows, tmp_path):
+    key = lambda c: "const k = '" + "AKIA" + c * 16 + "';"
+    out, state, folder = (str(tmp_path / name) for name in ("out", "state", "in"))
+
+    def save(*files):
+        spark.createDataFrame(files, "path string, content string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("path string, content string").parquet(folder)
+        incremental.incremental_check(stream, None, out, str(tmp_path / "progress"), state)
+        return rows(spark.read.parquet(out), "batch", "file", "line")
+
+    first = save(("a.ts", key("A") + "\n" + key("B")), ("b.ts", key("A")))
+    assert first == [(0, "a.ts", 1), (0, "a.ts", 2), (0, "b.ts", 1)]
+    # Equal files, and lines that moved: nothing new.
+    assert save(("a.ts", key("A") + "\n" + key("B")), ("b.ts", "\n" + key("A"))) == first
+    # One finding more, a second one of the same text, and a file that lost its own.
+    third = save(("a.ts", key("A") + "\n" + key("C") + "\n" + key("A")), ("b.ts", ""))
+    assert third == [*first, (2, "a.ts", 2), (2, "a.ts", 3)]
+    # What was taken out and comes back is new.
+    fourth = save(("b.ts", key("A")))
+    assert fourth == sorted([*third, (3, "b.ts", 1)])
+    # No content, no path.
+    assert [r for r in save(("c.ts", None), (None, key("A"))) if r[0] < 4] == fourth

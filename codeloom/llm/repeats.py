@@ -114,35 +114,35 @@ def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS)
 
 
 def spans_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, hash, start, end): every run of every document."""
+    """(doc_id, text_hash, hash, span): every run of every document, its start in the upper
+    half of `span` and its end in the lower one, so that a run is four numbers in a shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, starts, ends = [], [], [], []
+            rows, hashes, spans = [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
                 for digest, start, end in runs(text or ""):
                     rows.append(i)
                     hashes.append(digest)
-                    starts.append(start)
-                    ends.append(end)
+                    spans.append(start << 32 | end)
             at = pa.array(rows, pa.int64())
             columns = [batch["doc_id"].take(at), batch["text_hash"].take(at), pa.array(hashes, pa.int64())]
-            columns += [pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "hash", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.int64())], names=["doc_id", "text_hash", "hash", "span"])
 
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(cut, "doc_id long, text_hash long, hash long, start int, end int")
+    return rows.mapInArrow(cut, "doc_id long, text_hash long, hash long, span long")
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end) of every non-first occurrence of a repeated run."""
     ship(documents.sparkSession)
     spans = written(spans_of(documents))
-    place = F.struct("doc_id", "text_hash", "start")
-    gone = ("doc_id", "text_hash", "start", "end")
+    place = F.struct("doc_id", "text_hash", "span")
+    start, end = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int")
+    gone = ("doc_id", "text_hash", start.alias("start"), end.alias("end"))
     # About the runs that have more than 1 / HOT of all occurrences; which ones exactly does
     # not matter. Their occurrences stay where they are and take the first places, combined in
     # each task: a passage of a third of all documents is a row per task here. All others are
@@ -153,9 +153,12 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     often = spans.join(hottest, "hash")
     first = often.groupBy("hash").agg(F.min(place).alias("first"))
     often = often.join(F.broadcast(first), "hash")
-    usual = spans.join(hottest, "hash", "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("hash")))
-    found = [rows.where(~place.eqNullSafe(F.col("first"))).select(*gone) for rows in (often, usual)]
-    return found[0].unionByName(found[1])
+    often = often.where(~place.eqNullSafe(F.col("first")))
+    # The place is a column before the window, which else would shuffle it beside its parts.
+    usual = spans.join(hottest, "hash", "left_anti").select("hash", place.alias("place"))
+    usual = usual.withColumn("first", F.min("place").over(Window.partitionBy("hash")))
+    usual = usual.where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
+    return often.select(*gone).unionByName(usual.select(*gone))
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -164,8 +167,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     found = repeated_spans(documents).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
     rows = documents.select(
-        F.struct("*").alias("row"), F.col("text").cast("string").alias("text"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
     )
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     merged = F.aggregate(
@@ -184,7 +187,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    joined = joined.select("row", "text", merged.alias("removed"))
+    # The text goes through the exchange once, inside its row.
+    joined = joined.select("row", F.col("row.text").cast("string").alias("text"), merged.alias("removed"))
     starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
     ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text")))
     kept = F.array_join(

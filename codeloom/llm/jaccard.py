@@ -2,11 +2,12 @@
 token-group matrix.
 
 Documents with one set of shingles are one class. Classes that are alike (similar size, and
-of their least hashes by several orders the one that most classes share) form groups of bounded size, and each group keeps the union of its tokens. The
-matrix has a row per token and group. A class can only have a partner in groups whose union
-holds enough of its tokens: the rows of its few rarest tokens name the groups to consider,
-the overlap with the whole union decides which are opened, and only in opened groups are
-members compared, by exact counts of common tokens.
+of their least hashes by several orders the one that most classes share) form groups of
+bounded size, and each group keeps the union of its tokens. The matrix has a row per token and
+group. A class can only have a partner in groups whose union holds enough of its tokens: the
+rows of its few rarest tokens name the groups to consider, and the overlap with the whole
+union, as bits of a few per token, decides which are opened. Sets of tokens are sent to opened
+groups only, where members are compared by exact counts of common tokens.
 
 Nothing is capped: groups and their queries are split into blocks when they are large, all
 blocks are compared, and copies stay folded. Tokens in a large share of documents go last in
@@ -43,6 +44,9 @@ GROUP, QUERIES = 2048, 2048
 #: Odd multipliers, each of which orders the tokens in another way for a least hash.
 ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
+#: Bits of a union for each token of a set, at least, and in all, at least: powers of two.
+BITS, LEAST_BITS = 2, 64
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
 _WORDS: dict[bytes, int] = {}
@@ -80,6 +84,15 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def bits_of(tokens: np.ndarray) -> np.ndarray:
+    """A set as bits: each token sets one, at its hash modulo a power of two that grows with
+    the set. Bits of a larger set fold into those of a smaller one."""
+    size = max(LEAST_BITS, 1 << (BITS * max(len(tokens), 1) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[tokens.view(np.uint64) & np.uint64(size - 1)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
 def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of large shares of documents, sorted, and their counts: at most FREQUENT_KEPT."""
 
@@ -110,14 +123,14 @@ def frequent_tokens(documents: DataFrame, size: int) -> tuple[np.ndarray, np.nda
 def signatures(
     documents: DataFrame, size: int, percent: int, tokens: np.ndarray, counts: np.ndarray
 ) -> DataFrame:
-    """Per row: id, text hash, set size, set digest, least hashes, and the rarest tokens of which
-    every partner must have at least one. Whole sets stay behind."""
+    """Per row: id, text hash, set size, set digest, least hashes, the set as bits, and the
+    rarest tokens of which every partner must have at least one. Whole sets stay behind."""
     shared = documents.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, often = shared.value
         for batch in batches:
-            n, one, two, least, rare = [], [], [], [], []
+            n, one, two, least, bits, rare = [], [], [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text, size)
                 digest = np.frombuffer(blake2b(own.tobytes(), digest_size=16).digest(), dtype=np.int64)
@@ -125,26 +138,28 @@ def signatures(
                 one.append(int(digest[0]))
                 two.append(int(digest[1]))
                 least.append([int((own.view(np.uint64) * o).view(np.int64).min()) for o in ORDERS] if len(own) else [])
+                bits.append(bits_of(own).tobytes())
                 if len(own) and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     rank = np.where(frequent[at] == own, often[at], 0)
                     own = own[np.lexsort((own, rank))]
                 rare.append(own[: len(own) - needed(len(own), percent) + 1] if len(own) else own)
             columns = [batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(one, pa.int64())]
-            columns += [pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "one", "two", "least", "rare"])
+            columns += [pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            columns.append(pa.array(rare, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "one", "two", "least", "bits", "rare"])
 
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("binary").alias("text"),
     )
-    schema = "doc_id long, text_hash long, n long, one long, two long, least array<long>, rare array<long>"
+    schema = "doc_id long, text_hash long, n long, one long, two long, least array<long>, bits binary, rare array<long>"
     return rows.mapInArrow(sign, schema)
 
 
 def classes_of(signed: DataFrame, percent: int) -> DataFrame:
     """One row per distinct set: class_id, n, copies, smallest id, one row to read the text
-    from, rare tokens and group. A class joins the largest set of classes that share one of its
+    from, bits, rare tokens and group. A class joins the largest set of classes that share one of its
     least hashes, so near copies seldom scatter. Groups above GROUP classes are split."""
     found = written(
         signed.where(F.col("n") > 0)
@@ -152,7 +167,7 @@ def classes_of(signed: DataFrame, percent: int) -> DataFrame:
         .agg(
             F.min("doc_id").alias("smallest"), F.count("*").alias("copies"),
             F.min(F.struct("doc_id", "text_hash")).alias("source"),
-            F.first("least").alias("least"), F.first("rare").alias("rare"),
+            F.first("least").alias("least"), F.first("bits").alias("bits"), F.first("rare").alias("rare"),
         )
         .withColumn("class_id", F.monotonically_increasing_id())
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
@@ -188,7 +203,7 @@ def _meeting(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(class_id, group) to look into: the group's union has enough of the class's rare
+    """(class_id, group) to consider: the group's union has enough of the class's rare
     tokens, and its sizes fit."""
     rows = classes.select(F.explode("rare").alias("token"), "class_id", "group", "n")
     is_frequent = F.lit(False)
@@ -223,6 +238,58 @@ def candidates(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFr
     )
 
 
+def roles_of(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class_id, group, part, member, asks, copies): what each class does where. It is a member
+    of its own group, in every part, if a class asks there, and asks in one part of each group
+    that it is paired with."""
+    asked = written(
+        pairs.groupBy("group").agg(F.count("*").alias("asking")).select(
+            "group", F.ceil(F.col("asking") / QUERIES).cast("int").alias("parts")
+        )
+    )
+    members = classes.select("class_id", "group", "copies").join(asked, "group").select(
+        "class_id", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(True).alias("member"), F.lit(False).alias("asks"), "copies",
+    )
+    asking = pairs.join(asked, "group").select(
+        "class_id", "group", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"),
+        F.lit(False).alias("member"), F.lit(True).alias("asks"), F.lit(0).cast("long").alias("copies"),
+    )
+    return members.unionByName(asking).groupBy("class_id", "group", "part").agg(
+        F.max("member").alias("member"), F.max("asks").alias("asks"), F.max("copies").alias("copies")
+    )
+
+
+def bounded(rows: pa.Table, percent: int) -> pa.Table:
+    """The queries whose overlap with the union of a group's other members may be enough. A bit
+    of a query that no other member sets stands for one token at least that none has."""
+    bits = [np.frombuffer(b, dtype=np.uint8) for b in rows["bits"].to_pylist()]
+    width = min(len(b) for b in bits)
+    bits = [b if len(b) == width else np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in bits]
+    is_member = rows["member"].to_pylist()
+    once, twice = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
+    for own in (b for b, member in zip(bits, is_member) if member):
+        twice |= once & own
+        once |= own
+    keep = []
+    for i, (n, asks) in enumerate(zip(rows["n"].to_pylist(), rows["asks"].to_pylist())):
+        if asks:
+            lacking = np.bitwise_count(bits[i] & ~(twice if is_member[i] else once)).sum(dtype=np.int64)
+            if lacking <= n - needed(n, percent):
+                keep.append(i)
+    return rows.select(["class_id", "group"]).take(pa.array(keep, pa.int64()))
+
+
+def opened(classes: DataFrame, considered: DataFrame, percent: int) -> DataFrame:
+    """The pairs of `considered` that the bound by the whole union leaves."""
+    rows = roles_of(classes, considered).join(classes.select("class_id", "n", "bits"), "class_id")
+    return written(
+        rows.select("class_id", "group", "part", "member", "asks", "n", "bits")
+        .groupBy("group", "part")
+        .applyInArrow(lambda group: bounded(group, percent), "class_id long, group long")
+    )
+
+
 def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(class_id, roles, tokens) of the wanted classes, from the text of one row of each."""
     key = lambda doc_id, text_hash: [
@@ -309,28 +376,9 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     frequent, counts = frequent_tokens(documents, size)
     signed = written(signatures(documents, size, percent, frequent, counts))
     classes = classes_of(signed, percent)
-    cand = candidates(classes, frequent, percent)
-    asked = written(
-        cand.groupBy("group").agg(F.count("*").alias("asking")).select(
-            "group", F.ceil(F.col("asking") / QUERIES).cast("int").alias("parts")
-        )
-    )
-    # What each class does where: it is a member of its own group, in every part, if that is
-    # opened, and asks in one part of each group that it may have a partner in.
-    members = classes.select("class_id", "group", "copies").join(asked, "group").select(
-        "class_id", "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(True).alias("member"), F.lit(False).alias("asks"), "copies",
-    )
-    asking = cand.join(asked, "group").select(
-        "class_id", "group", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"),
-        F.lit(False).alias("member"), F.lit(True).alias("asks"), F.lit(0).cast("long").alias("copies"),
-    )
+    pairs = opened(classes, candidates(classes, frequent, percent), percent)
     role = F.struct("group", "part", "member", "asks", "copies")
-    roles = (
-        members.unionByName(asking).groupBy("class_id", "group", "part")
-        .agg(F.max("member").alias("member"), F.max("asks").alias("asks"), F.max("copies").alias("copies"))
-        .groupBy("class_id").agg(F.collect_list(role).alias("roles"))
-    )
+    roles = roles_of(classes, pairs).groupBy("class_id").agg(F.collect_list(role).alias("roles"))
     wanted = written(classes.select("class_id", "source").join(roles, "class_id"))
     sets = sets_of(documents, wanted, size).select("class_id", "tokens", F.explode("roles").alias("role"))
     found = written(

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -213,6 +214,22 @@ def test_jaccard(nasty, size, percent):
     assert pairs(got, "doc_id", "n_shingles", "n_links", "component_id") == brute_jaccard(texts(nasty), size, percent)
 
 
+def test_bound_by_bits_keeps_every_partner_and_leaves_half_alike_out():
+    rng = np.random.default_rng(3)
+    token = lambda n: rng.integers(-(1 << 62), 1 << 62, n)
+    for size in (3, 40, 900, 5000):
+        base, half = token(size), token(size)
+        half[: size // 2] = base[: size // 2]
+        near = np.append(base[: size - size // 20], token(size // 20))
+        sets = {1: base, 2: half, 3: near, 4: token(size + size // 9)}
+        rows = [(c, 7, c in (1, 4), True, len(t), jaccard.bits_of(t).tobytes()) for c, t in sets.items()]
+        names = ["class_id", "group", "member", "asks", "n", "bits"]
+        table = pa.table({k: list(v) for k, v in zip(names, zip(*rows))})
+        kept = jaccard.bounded(table, 90)["class_id"].to_pylist()
+        # The first and the last are members and alone, so only the near copy may ask.
+        assert 3 in kept and (size < 40 or kept == [3])
+
+
 def test_jaccard_splits_groups(nasty, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 2)
     monkeypatch.setattr(jaccard, "QUERIES", 3)

@@ -542,8 +542,7 @@ _UNKNOWN_LINES = "(SELECT path, line, content FROM v_lines WHERE path NOT LIKE '
 
 @query("incremental_check", secret_sql(_UNKNOWN_LINES))
 def _(v):
-    stored = v.table("documents").schema
-    documents = v.spark.readStream.schema(stored).option("pathGlobFilter", "documents.parquet").parquet(v.folder)
+    documents = v.stream("documents")
     extensions = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % 13 + 1).cast("int"))
     files = documents.select(
         F.concat(F.lit("src/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), extensions).alias("path"),
@@ -559,7 +558,7 @@ def _(v):
 
 @query("incremental_runs", f"SELECT run_id, {_SUMMARY} FROM v_findings GROUP BY run_id")
 def _(v):
-    events = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    events = v.stream("events")
     kind = F.col("event_type")
     findings = events.select(
         F.concat(F.lit("rule/"), kind).alias("rule_id"),

@@ -58,3 +58,17 @@ def test_shapes_do_not_depend_on_buckets(spark, rows, monkeypatch):
     monkeypatch.setattr(ordered, "WIDTH", 2)
     assert rows(derive.blocks_of_nodes(frame), "path", "shape") == whole
     assert len(whole) == 2 and whole[0][1] == whole[1][1]
+
+
+def test_detectors_of_few_kinds_write_no_nodes(spark, tmp_path, monkeypatch):
+    # The node table is several times what it is made of; a detector computes the kinds it asks for.
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(90).selectExpr(
+        "id % 40 AS l_orderkey", "id % 5 AS l_linenumber", "id % 24 AS l_partkey", "id % 6 AS l_suppkey", "id * 1.5D AS l_extendedprice"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    monkeypatch.setattr(Views, "_write", lambda views, view, path, by, write=Views._write: (written.append(by), write(views, view, path, by)))
+    found = QUERIES["class_naming"](spark, str(tmp_path))
+    assert found.count() > 0
+    assert written and "kind" not in written
+    assert plan(found).count("Relation") < plan(Views(spark, str(tmp_path)).projected("v_nodes")).count("Relation")

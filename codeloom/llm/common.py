@@ -26,6 +26,27 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: Bits of a filter for each of its keys, about; bits of one row of it; its most rows. They
+#: change how many rows pass without need, but no result.
+FILTER_BITS, FILTER_ROW, FILTER_ROWS = 16, 1 << 15, 1 << 14
+
+
+def passing(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of `df` whose long `key`, never null, may be among `keys` (one long column),
+    and `passes`: false for the other rows. A bit map of the keys is broadcast; rows of other keys
+    may pass, those of `keys` always do."""
+    (name,) = keys.columns
+    rows = min(-(-keys.count() * FILTER_BITS // FILTER_ROW), FILTER_ROWS)
+    row = lambda k: F.pmod(F.shiftrightunsigned(k, 15), F.lit(max(rows, 1)))
+    bit = lambda k: k.bitwiseAND(F.lit(FILTER_ROW - 1))
+    bits = keys.groupBy(row(F.col(name)).alias("_row")).agg(F.bitmap_construct_agg(bit(F.col(name))).alias("_bits"))
+    at = bit(F.col("_key"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    passes = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    joined = df.withColumn("_key", key).withColumn("_row", row(F.col("_key"))).join(F.broadcast(bits), "_row", "left")
+    return joined.withColumn("passes", passes).drop("_row", "_bits", "_key")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -27,17 +27,17 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codeloom.llm.common import ship, written
+from codeloom.llm.common import passing, ship, written
 from codeloom.llm.graphs import components
 
 #: Tokens counted together when frequent ones are looked for, the share of a count's documents
 #: that makes a token frequent, and how many are remembered (they only set an order).
-CHUNK = 1 << 20
-FREQUENT_SHARE, FREQUENT_LEAST = 0.005, 8
+CHUNK = 1 << 21
+FREQUENT_SHARE, FREQUENT_LEAST = 0.0005, 3
 FREQUENT_KEPT = 1 << 16
 #: Classes of a group, and queries compared with a group in one task, at most about.
 GROUP, QUERIES = 2048, 2048
@@ -157,6 +157,16 @@ def signatures(
     return rows.mapInArrow(sign, schema)
 
 
+def row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """(no_id, id, hash), equal for rows of one id and text; none is null."""
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_hash.alias("hash")]
+
+
+def mixed(doc_id: str, text_hash: str) -> Column:
+    """A hash of id and text, never null."""
+    return F.xxhash64(doc_id, text_hash)
+
+
 def classes_of(signed: DataFrame, percent: int) -> DataFrame:
     """One row per distinct set: class_id, n, copies, smallest id, one row to read the text
     from, bits, rare tokens and group. A class joins the largest set of classes that share one of its
@@ -166,8 +176,7 @@ def classes_of(signed: DataFrame, percent: int) -> DataFrame:
         .groupBy("one", "two", "n")
         .agg(
             F.min("doc_id").alias("smallest"), F.count("*").alias("copies"),
-            F.min(F.struct("doc_id", "text_hash")).alias("source"),
-            F.first("least").alias("least"), F.first("bits").alias("bits"), F.first("rare").alias("rare"),
+            F.min(F.struct("doc_id", "text_hash")).alias("source"), F.first("least").alias("least"),
         )
         .withColumn("class_id", F.monotonically_increasing_id())
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
@@ -185,7 +194,12 @@ def classes_of(signed: DataFrame, percent: int) -> DataFrame:
     )
     grouped = found.join(parts, "class_id", "left").withColumn("key", F.coalesce("key", F.col("alike")[0]))
     part = F.pmod(F.xxhash64("class_id"), F.coalesce("parts", F.lit(1)))
-    return written(grouped.withColumn("group", F.xxhash64("key", part)).drop("alike", "key", "parts"))
+    grouped = grouped.withColumn("group", F.xxhash64("key", part)).drop("alike", "key", "parts")
+    # Bits and rare tokens are most of a row; they are dealt once, to the class of their row.
+    at = ["one", "two", "n", "no_id", "id", "hash"]
+    wide = signed.where(F.col("n") > 0).select("one", "two", "n", *row_key(F.col("doc_id"), F.col("text_hash")), "bits", "rare")
+    grouped = grouped.select("*", *row_key(F.col("source.doc_id"), F.col("source.text_hash")))
+    return written(wide.join(grouped, at).dropDuplicates(at).drop("no_id", "id", "hash"))
 
 
 def _meeting(shared: DataFrame, percent: int) -> DataFrame:
@@ -292,13 +306,12 @@ def opened(classes: DataFrame, considered: DataFrame, percent: int) -> DataFrame
 
 def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(class_id, roles, tokens) of the wanted classes, from the text of one row of each."""
-    key = lambda doc_id, text_hash: [
-        doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), text_hash.alias("hash")
-    ]
     rows = documents.select(
-        *key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))), F.col("text").cast("binary").alias("text")
+        *row_key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))), F.col("text").cast("binary").alias("text")
     )
-    wanted = wanted.select(*key(F.col("source.doc_id"), F.col("source.text_hash")), "class_id", "roles")
+    wanted = wanted.select(*row_key(F.col("source.doc_id"), F.col("source.text_hash")), "class_id", "roles")
+    # Few texts are wanted, and the others stay where they are.
+    rows = passing(rows, mixed("id", "hash"), wanted.select(mixed("id", "hash").alias("key"))).where("passes").drop("passes")
     # Rows that repeat id and text are read once.
     rows = rows.join(wanted, ["no_id", "id", "hash"]).dropDuplicates(["no_id", "id", "hash"])
 
@@ -415,13 +428,19 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     repeat id and text as one."""
     judged = similar_documents(documents, size, percent)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = judged.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"))
-    alone = judged.where("root IS NULL").select("doc_id", "text_hash").distinct()
-    kept = first.select("first.doc_id", "first.text_hash").unionByName(alone)
+    keys = written(judged.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.min("root").alias("root")))
+    first = keys.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"))
+    keeps = F.col("root").isNull() | (order == F.col("first"))
+    # Most rows stay, and they stay where they are: only those that may go or repeat are joined.
+    doubtful = written(
+        keys.join(first, "root", "left").select("doc_id", "text_hash", "rows", keeps.alias("keeps")).where(~F.col("keeps") | (F.col("rows") > 1))
+    )
     key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")]
     rows = documents.select(F.struct("*").alias("row"), *key)
+    rows = passing(rows, mixed("_id", "_hash"), doubtful.select(mixed("doc_id", "text_hash").alias("key")))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
-    return rows.join(written(kept), same).dropDuplicates(["_id", "_hash"]).select("row.*")
+    again = rows.where("passes").join(doubtful, same, "left").where(F.coalesce("keeps", F.lit(True)))
+    return rows.where(~F.col("passes")).select("row.*").unionByName(again.dropDuplicates(["_id", "_hash"]).select("row.*"))
 
 
 def jaccard_query(spark: SparkSession, folder: str) -> DataFrame:

@@ -238,6 +238,32 @@ def test_jaccard_splits_groups(nasty, monkeypatch):
     assert pairs(got, "doc_id", "n_shingles", "n_links", "component_id") == brute_jaccard(texts(nasty), 3, 80)
 
 
+def test_filter_lets_all_keys_and_few_others_pass(spark):
+    hashed = F.xxhash64("id")
+    keys = spark.range(0, 3000, 3).select(hashed.alias("key"))
+    passes = {r.id: r.passes for r in common.passing(spark.range(3000), hashed, keys).collect()}
+    assert len(passes) == 3000 and all(passes[i] for i in range(0, 3000, 3)) and sum(passes.values()) < 1200
+    assert not any(r.passes for r in common.passing(spark.range(5), F.col("id"), keys.limit(0)).collect())
+
+
+def test_passage_of_few_documents_goes_last(spark):
+    passage = " ".join(f"shared{i}" for i in range(20))
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(30)) + (" " + passage if i < 5 else "")) for i in range(40)]
+    common.ship(spark)
+    tokens, counts = jaccard.frequent_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3)
+    assert set(tokens) == set(jaccard.shingles(passage.encode(), 3)) and set(counts) == {5}
+
+
+def test_texts_that_stay_are_not_dealt(spark):
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(30))) for i in range(20)] + [(i, "a b c d e f g") for i in (30, 31)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {*range(20), 30}
+    # One side of the union only passes a broadcast filter; the other is joined and dealt.
+    sides = kept._jdf.queryExecution().optimizedPlan().children()
+    texts = [sides.apply(i).toString() for i in range(sides.size())]
+    assert len(texts) == 2 and "Aggregate [_id" not in texts[0] and "Aggregate [_id" in texts[1]
+
+
 def test_one_row_of_groups_with_equal_or_no_ids(spark):
     base = " ".join(f"word{i}" for i in range(60))
     rows = [(1, base + " a"), (1, base + " b"), (None, base[:200] + " " * 3 + "z"), (2, "other " * 3), (None, ""), (None, ""), (3, None)]

@@ -202,6 +202,26 @@ def test_similar_blocks_against_brute_force(spark, seed):
         assert r.blocks_a == len(groups[key(r.first_a)]) and r.blocks_b == len(groups[key(r.first_b)])
 
 
+def test_similar_bags_compares_only_what_shares_enough(spark):
+    # 30 near copies, and 30 texts that have two rare words in common with the next one.
+    near = [[f"w{k}" for k in range(100)] + [f"own{i}"] for i in range(30)]
+    chance = [[f"t{i}_{k}" for k in range(98)] + [f"link{i}", f"link{i + 1}", f"pair{i // 2}"] for i in range(30)]
+    keyed = duplicates.keyed_blocks(blocks_frame(spark, near + chance, [f"s{i}" for i in range(60)]))
+    bags = duplicates.numbered_bags(keyed)
+    numbers = {r.bag_id for r in bags.filter(F.array_contains("tokens", "w0")).collect()}
+    candidates = duplicates._candidates(duplicates._elements(bags), 0.85).collect()
+    assert {(r.a, r.b) for r in candidates} == set(itertools.combinations(sorted(numbers), 2))
+    # Near copies stay together, so a bag is sent once and not once for each of its pairs.
+    assert duplicates._homes(spark.createDataFrame(candidates)).select("home").distinct().count() == 1
+    assert duplicates.similar_bags(bags, 0.85).count() == 30 * 29 // 2
+
+
+def test_token_counts_are_taken_inside_the_row(spark):
+    bags = spark.createDataFrame([(1, 5, ["b", "a", "b", "", "b"]), (2, 1, ["a"]), (3, 0, [])], "bag_id long, n int, tokens array<string>")
+    got = {(r.bag_id, r.token): r.c for r in duplicates._token_counts(bags).collect()}
+    assert got == {(1, "b"): 3, (1, "a"): 1, (1, ""): 1, (2, "a"): 1}
+
+
 def test_pairwise_jaccard(spark, rows):
     df = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "b"]), (2, [], []), (3, ["a"], [])], "pair_id long, left array<string>, right array<string>")
     assert rows(duplicates.multiset_jaccard(df)) == [(1, 0.5), (2, 1.0), (3, 0.0)]

@@ -144,21 +144,20 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     start, end = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int")
     gone = ("doc_id", "text_hash", start.alias("start"), end.alias("end"))
     # About the runs that have more than 1 / HOT of all occurrences; which ones exactly does
-    # not matter. Their occurrences stay where they are and take the first places, combined in
-    # each task: a passage of a third of all documents is a row per task here. All others are
-    # shuffled once.
+    # not matter. Their first places are combined in each task: a passage of a third of all
+    # documents is a row per task here.
     total, top = spans.agg(F.count("*"), F.expr(f"approx_top_k(hash, {LIMIT}, {TRACKED})")).first()
-    hot = [(x["item"],) for x in top or () if x["count"] * HOT > total]
-    hottest = F.broadcast(documents.sparkSession.createDataFrame(hot, "hash long"))
-    often = spans.join(hottest, "hash")
-    first = often.groupBy("hash").agg(F.min(place).alias("first"))
-    often = often.join(F.broadcast(first), "hash")
-    often = often.where(~place.eqNullSafe(F.col("first")))
-    # The place is a column before the window, which else would shuffle it beside its parts.
-    usual = spans.join(hottest, "hash", "left_anti").select("hash", place.alias("place"))
-    usual = usual.withColumn("first", F.min("place").over(Window.partitionBy("hash")))
-    usual = usual.where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
-    return often.select(*gone).unionByName(usual.select(*gone))
+    hot = [x["item"] for x in top or () if x["count"] * HOT > total]
+    hot_first = spans.where(F.col("hash").isin(hot)).groupBy("hash").agg(F.min(place).alias("hot_first"))
+    # One row per occurrence whatever the groups. Those of a frequent run know its first place
+    # already and are dealt by themselves. The place is a column before the window, which else
+    # would shuffle it beside its parts.
+    marked = spans.select("hash", place.alias("place")).join(F.broadcast(hot_first), "hash", "left")
+    deal = F.when(F.col("hot_first").isNotNull(), F.xxhash64("place"))
+    marked = marked.withColumn("deal", F.coalesce(deal, F.lit(0)))
+    first = F.coalesce("hot_first", F.min("place").over(Window.partitionBy("hash", "deal")))
+    found = marked.withColumn("first", first).where(~F.col("place").eqNullSafe(F.col("first")))
+    return found.select("place.*").select(*gone)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:

@@ -282,6 +282,24 @@ def test_one_document_of_each_group_stays(nasty):
     assert all(ids[300 + i] == 1 for i in range(20)) and ids[5] == 2
 
 
+def test_frequent_runs_join_no_occurrence_twice(spark, monkeypatch):
+    # The occurrences of a frequent run meet its first place in a join that keeps every occurrence once.
+    monkeypatch.setattr(repeats, "HOT", 1 << 20)
+    passage = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. "
+    found = repeats.repeated_spans(spark.createDataFrame([(i, passage + f"Own {i}.") for i in range(20)], "doc_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("Join LeftOuter") == 1
+    assert {r.doc_id for r in found.collect()} == set(range(1, 20))
+
+
+def test_remembered_words_are_few(monkeypatch):
+    monkeypatch.setattr(jaccard, "WORDS_KEPT", 10)
+    monkeypatch.setattr(jaccard, "_WORDS", {})
+    for i in range(20):
+        jaccard.shingles(" ".join(f"w{i}_{k}" for k in range(10)).encode(), 3)
+    assert len(jaccard._WORDS) <= 20
+
+
 @pytest.mark.parametrize("hot", [1, repeats.HOT], ids=["no run is hot", "runs are hot"])
 def test_repeats(nasty, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -49,12 +49,14 @@ BITS, LEAST_BITS = 2, 64
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xD6E8FEB86659FD93)
+#: Words whose hashes a worker remembers, which lives on through the stages that follow.
+WORDS_KEPT = 1 << 16
 _WORDS: dict[bytes, int] = {}
 
 
 def _words(text: bytes) -> np.ndarray:
     """Hashes of the words between ASCII white space, A-Z lower-cased."""
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > WORDS_KEPT:
         _WORDS.clear()
     out = []
     for word in text.lower().split():

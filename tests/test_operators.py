@@ -217,9 +217,9 @@ def test_similar_bags_compares_only_what_shares_enough(spark):
 
 
 def test_token_counts_are_taken_inside_the_row(spark):
-    bags = spark.createDataFrame([(1, 5, ["b", "a", "b", "", "b"]), (2, 1, ["a"]), (3, 0, [])], "bag_id long, n int, tokens array<string>")
+    bags = spark.createDataFrame([(1, 5, 1, ["b", "a", "b", "", "b"]), (2, 2, 2, ["a"]), (3, 0, 1, [])], "bag_id long, n int, rows int, tokens array<string>")
     got = {(r.bag_id, r.token): r.c for r in duplicates._token_counts(bags).collect()}
-    assert got == {(1, "b"): 3, (1, "a"): 1, (1, ""): 1, (2, "a"): 1}
+    assert got == {(1, "b"): 3, (1, "a"): 1, (1, ""): 1, (2, "a"): 2}
 
 
 def test_pairwise_jaccard(spark, rows):

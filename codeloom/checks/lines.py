@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from codeloom import catalog
 from codeloom.checks.base import FINDING, fixed, hit, in_list, lit, query, rx, trim
 from codeloom.functions import identity, names, paths, text
+from codeloom.functions.kinds import only
 from codeloom.operators import line_rules, nodes, results, supply
 from codeloom.sources import corpus, reports
 
@@ -246,7 +247,7 @@ _CAPS = "list_transform(w, lambda x: upper(x[1]) || x[2:])"
 )
 def _(v):
     all_names = v("v_names").select("name").unionByName(
-        v("v_nodes").filter("field = 'name'").select(F.col("text").alias("name"))
+        only(v.projected("v_nodes"), "field", "name").select(F.col("text").alias("name"))
     ).distinct()
     to = lambda s: names.convert_name(F.col("name"), s)
     return all_names.select(

@@ -119,7 +119,7 @@ def import_edges(nodes: DataFrame) -> DataFrame:
 
 def export_names(nodes: DataFrame) -> DataFrame:
     """(path, name) rows of exported names by the language's own rule; Python has none."""
-    language, kind = F.col("language"), F.col("kind")
+    language = F.col("language")
     scripts = nodes.filter(language.isin(*catalog.SCRIPT_LANGUAGES))
     script_rows = intervals.inside(
         of_kind(scripts, "identifier", "type_identifier"),
@@ -128,14 +128,12 @@ def export_names(nodes: DataFrame) -> DataFrame:
     ).select("path", F.col("text").alias("name"))
     own = children(nodes, "name", "text")
     go_rows = (
-        nodes.filter((language == "go") & kind.isin("function_declaration", "type_declaration"))
+        of_kind(nodes, "function_declaration", "type_declaration").filter(language == "go")
         .join(own, ["path", "node_id"])
         .filter(F.col("name_text").rlike("^[A-Z]"))
     )
-    java_rows = nodes.filter(
-        (language == "java") & kind.isin("class_declaration", "interface_declaration")
-    ).join(own, ["path", "node_id"])
-    public = nodes.filter((language == "rust") & (kind == "visibility_modifier") & (F.col("text") == "pub")).select(
+    java_rows = of_kind(nodes, "class_declaration", "interface_declaration").filter(language == "java").join(own, ["path", "node_id"])
+    public = of_kind(nodes, "visibility_modifier").filter((language == "rust") & (F.col("text") == "pub")).select(
         "path", F.col("parent_id").alias("node_id")
     )
     rust_rows = public.join(own, ["path", "node_id"])

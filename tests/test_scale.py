@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codeloom.checks import QUERIES
 from codeloom.checks.base import Views
 from codeloom.functions import names, ordered
+from codeloom.functions.kinds import only
 from codeloom.operators import derive
 
 
@@ -72,3 +73,23 @@ def test_detectors_of_few_kinds_write_no_nodes(spark, tmp_path, monkeypatch):
     assert found.count() > 0
     assert written and "kind" not in written
     assert plan(found).count("Relation") < plan(Views(spark, str(tmp_path)).projected("v_nodes")).count("Relation")
+
+
+def test_readers_of_many_kinds_write_no_nodes(spark, tmp_path, monkeypatch):
+    # Each reading plans the projections that can hold the kinds or fields it asks for, no others.
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(90).selectExpr(
+        "id % 40 AS l_orderkey", "id % 5 AS l_linenumber", "id % 24 AS l_partkey", "id % 6 AS l_suppkey", "id * 1.5D AS l_extendedprice"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    monkeypatch.setattr(Views, "_write", lambda views, view, path, by, write=Views._write: (written.append(by), write(views, view, path, by)))
+    for name in ("cyclomatic_complexity", "sql_injection"):
+        QUERIES[name](spark, str(tmp_path))
+    assert written and "kind" not in written
+    table = Views(spark, str(tmp_path)).projected("v_nodes")
+    nodes = lambda rows: plan(rows).count("Relation")
+    size = lambda rows: len(rows._jdf.queryExecution().analyzed().toString().splitlines())
+    for column, value in (("kind", "if_statement"), ("field", "operator")):
+        found, filtered = only(table, column, value), table.frame.filter(F.col(column) == value)
+        assert size(found) < size(filtered) / 2 and nodes(found) == nodes(filtered)
+        assert found.count() > 0 and sorted(map(repr, found.collect())) == sorted(map(repr, filtered.collect()))

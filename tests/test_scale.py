@@ -8,6 +8,7 @@ from codeloom.checks.base import Views
 from codeloom.functions import names, ordered
 from codeloom.functions.kinds import only
 from codeloom.operators import derive
+from codeloom.operators import nodes as node_rules
 
 
 def plan(df):
@@ -93,3 +94,11 @@ def test_readers_of_many_kinds_write_no_nodes(spark, tmp_path, monkeypatch):
         found, filtered = only(table, column, value), table.frame.filter(F.col(column) == value)
         assert size(found) < size(filtered) / 2 and nodes(found) == nodes(filtered)
         assert found.count() > 0 and sorted(map(repr, found.collect())) == sorted(map(repr, filtered.collect()))
+
+
+def test_samples_sort_only_the_first_places(spark):
+    # Seven documents of two names each, one without a number: samples are the first five names.
+    named = [("en", f"aB{i}{j}", i or None, j) for i in range(7) for j in range(2)] + [("en", "a_b", 0, 0), (None, "aB", 1, 1)]
+    found = node_rules.convention_inference(spark.createDataFrame(named, "category string, name string, doc_id long, line long"), ["doc_id", "line"])
+    assert "until" in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("en", "camelCase", 14 / 15 * 100, 15, "aB00,aB01,aB10,aB11,aB20")]
